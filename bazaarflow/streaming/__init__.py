@@ -1,0 +1 @@
+"""Left empty on purpose: every table of this domain is a bounded batch, so there is no stream to serve."""
