@@ -166,7 +166,7 @@ def statement(select: str, *reads: str, **overrides: str) -> str:
     def visit(name: str) -> None:
         if name in ordered:
             return
-        for dependency in () if name in overrides else _PARTS[name][0]:
+        for dependency in () if name in overrides or name not in _PARTS else _PARTS[name][0]:
             visit(dependency)
         ordered.append(name)
 
@@ -346,5 +346,355 @@ def dq_statements() -> dict[str, str]:
     return d
 
 
+_SCORED = """
+    SELECT *, round(1.0::DOUBLE / (1.0::DOUBLE + recency_days / 30.0::DOUBLE), 6) AS propensity_score,
+           avg_basket_value_90d AS predicted_conditional_revenue_30d,
+           CAST(CAST('0x' || substr(sha256(user_id || '|' || CAST(as_of_date AS VARCHAR) || '|policy_random'), 1, 16) AS UBIGINT) AS DOUBLE)
+             / 18446744073709551615.0::DOUBLE AS random_policy_score,
+           1.0::DOUBLE / (1.0::DOUBLE + recency_days) + 0.5::DOUBLE * frequency_90d + 0.01::DOUBLE * monetary_90d AS rfm_policy_score,
+           CASE WHEN as_of_date = DATE '2000-12-01' THEN 'test' WHEN as_of_date = DATE '2000-11-01' THEN 'validation'
+                ELSE 'train' END AS slice
+    FROM train_table"""
+_PARTS["scored0"] = (("train_table",), _SCORED)
+_PARTS["scored"] = (
+    ("scored0",),
+    "SELECT *, propensity_score * predicted_conditional_revenue_30d AS expected_value_score FROM scored0",
+)
+_PARTS["cap"] = (
+    ("scored",),
+    "SELECT quantile_cont(monetary_90d, 0.99) AS spend_cap_value FROM scored WHERE slice = 'train'",
+)
+_PARTS["gaps"] = (
+    ("silver",),
+    """
+    SELECT user_id, event_date, gap_days FROM (
+        SELECT user_id, event_date, event_date - lag(event_date) OVER (PARTITION BY user_id ORDER BY event_date) AS gap_days
+        FROM silver WHERE quantity > 0 AND user_id <> '') WHERE gap_days > 0""",
+)
+for _name, _score in (("ml", "expected_value_score"), ("random", "random_policy_score"), ("rfm", "rfm_policy_score")):
+    _PARTS[f"best_{_name}"] = (
+        ("scored",),
+        f"SELECT * FROM scored WHERE slice = 'test' ORDER BY round({_score}, 6) DESC, user_id LIMIT 200",
+    )
+_POLICY = """
+    SELECT '{policy}' AS policy, count(*) AS targeted_users, round(count(*) * 5.0::DOUBLE, 6) AS budget_spend,
+           round(avg(label_purchase_30d), 6) AS actual_purchase_rate, round(sum(label_net_revenue_30d), 6) AS actual_revenue_total,
+           round(sum(label_net_revenue_30d) / count(*), 6) AS actual_revenue_per_targeted_user
+    FROM {table}"""
+_PARTS["policies"] = (
+    ("best_ml", "best_random", "best_rfm"),
+    " UNION ALL ".join(
+        _POLICY.format(policy=policy, table=table)
+        for policy, table in (
+            ("ml_top_expected_value", "best_ml"),
+            ("random_baseline", "best_random"),
+            ("rfm_heuristic", "best_rfm"),
+        )
+    ),
+)
+_KEY = "user_id, CAST(as_of_date AS VARCHAR) AS as_of_date"
+_INPUTS = "recency_days, frequency_30d, monetary_30d, frequency_90d, monetary_90d, avg_basket_value_90d"
+_THRESHOLDS = """
+    SELECT g, propensity_score, n, p, sum(p) OVER w AS hits, sum(n) OVER w AS taken, sum(p) OVER (PARTITION BY g) AS positives
+    FROM (SELECT g, propensity_score, count(*) AS n, sum(label) AS p FROM {source} GROUP BY g, propensity_score)
+    WINDOW w AS (PARTITION BY g ORDER BY propensity_score DESC)"""
+
+
+def propensity_statements() -> dict[str, str]:
+    """Modelling preparation, metrics, policies and gap diagnostics, over deterministic stand-in scores."""
+    d: dict[str, str] = {}
+    inputs = ", ".join(f"CAST({name} AS DOUBLE) AS {name}" for name in _INPUTS.split(", "))
+    d["training_rows"] = on_panel(
+        f"SELECT {_KEY}, country, {inputs}, label_purchase_30d AS purchase_label, label_net_revenue_30d AS revenue_label FROM scored",
+        "scored",
+    )
+    d["split_10_1_1"] = on_panel(
+        f"""SELECT {_KEY}, CASE WHEN r <= 10 THEN 'train' WHEN r = 11 THEN 'validation' ELSE 'test' END AS slice
+        FROM (SELECT *, dense_rank() OVER (ORDER BY as_of_date) AS r FROM train_table)""",
+        "train_table",
+    )
+    d["label_class_check"] = on_panel(
+        """SELECT count(DISTINCT label_purchase_30d) AS class_count, count(DISTINCT label_purchase_30d) >= 2 AS passed
+        FROM scored WHERE slice = 'train'""",
+        "scored",
+    )
+    d["spend_cap_value"] = on_panel("SELECT round(spend_cap_value, 6) AS spend_cap_value FROM cap", "cap")
+    d["apply_spend_cap"] = on_panel(
+        f"SELECT {_KEY}, round(least(monetary_90d, (SELECT spend_cap_value FROM cap)), 6) AS monetary_90d FROM scored", "cap"
+    )
+    flags = ", ".join(f"CAST(country = 'NATION_{i}' AS INTEGER)::DOUBLE AS \"country_NATION_{i}\"" for i in range(25))
+    d["country_one_hot"] = on_panel(f"SELECT {_KEY}, {flags} FROM train_table", "train_table")
+    d["revenue_fallback_mean"] = on_panel(
+        """SELECT round(avg(label_net_revenue_30d), 6) AS revenue_fallback_value
+        FROM scored WHERE slice = 'train' AND label_purchase_30d = 1""",
+        "scored",
+    )
+
+    pairs = "SELECT 1 AS g, propensity_score, CAST(label_purchase_30d AS BIGINT) AS label FROM scored"
+    d["roc_auc"] = on_panel(
+        f"""SELECT round((sum(place) FILTER (label = 1) - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)), 6) AS roc_auc FROM (
+            SELECT label, sum(label) OVER () AS p, count(*) OVER () AS n,
+                   rank() OVER (ORDER BY propensity_score) + (count(*) OVER (PARTITION BY propensity_score) - 1) / 2.0::DOUBLE AS place
+            FROM ({pairs})) GROUP BY p, n""",
+        "scored",
+    )
+    thresholds = _THRESHOLDS.format(source=f"({pairs})")
+    d["average_precision"] = on_panel(
+        f"SELECT round(sum(p::DOUBLE / positives * hits / taken), 6) AS average_precision FROM ({thresholds})", "scored"
+    )
+    d["top_decile_lift"] = on_panel(
+        """SELECT round(b, 6) AS base_positive_rate, round(t, 6) AS top_decile_positive_rate, round(t / b, 6) AS top_decile_lift FROM (
+            SELECT avg(label_purchase_30d) AS b, avg(label_purchase_30d) FILTER (r <= greatest(1, n // 10)) AS t
+            FROM (SELECT label_purchase_30d, count(*) OVER () AS n,
+                         row_number() OVER (ORDER BY propensity_score DESC, user_id, as_of_date) AS r FROM scored))""",
+        "scored",
+    )
+    d["brier_score"] = on_panel(
+        "SELECT round(avg((propensity_score - label_purchase_30d) ** 2), 6) AS brier_score FROM scored", "scored"
+    )
+    reached = "(SELECT count(*) FROM range(10) e(i) WHERE i * 0.1::DOUBLE <= propensity_score)"
+    d["ece_10_bin"] = on_panel(
+        f"""SELECT round(sum(abs(s - y) * n) / sum(n), 6) AS ece_10_bin FROM (
+            SELECT avg(propensity_score) AS s, avg(label_purchase_30d) AS y, count(*) AS n FROM scored
+            GROUP BY {reached})""",
+        "scored",
+    )
+    miss = "abs(label_net_revenue_30d - predicted_conditional_revenue_30d)"
+    d["revenue_errors"] = on_panel(
+        f"""SELECT count(*) AS row_count, round(sqrt(avg({miss} ** 2)), 6) AS rmse, round(avg({miss}), 6) AS mae,
+        round(avg({miss} / label_net_revenue_30d) FILTER (label_net_revenue_30d <> 0), 6) AS mape
+        FROM scored WHERE label_purchase_30d = 1""",
+        "scored",
+    )
+
+    for score in ("expected_value_score", "random_policy_score", "rfm_policy_score"):
+        d[score] = on_panel(f"SELECT {_KEY}, round({score}, 6) AS {score} FROM scored", "scored")
+    d["budget_top_k"] = on_panel(
+        f"SELECT {_KEY}, round(rfm_policy_score, 6) AS rfm_policy_score FROM best_rfm", "best_rfm"
+    )
+    d["policy_comparison"] = on_panel("SELECT * FROM policies", "policies")
+    revenue_of = "max(actual_revenue_per_targeted_user) FILTER (policy = '{}')"
+    ml, rnd, rfm = (revenue_of.format(p) for p in ("ml_top_expected_value", "random_baseline", "rfm_heuristic"))
+    d["policy_deltas"] = on_panel(
+        f"""SELECT round({ml} - {rnd}, 6) AS ml_vs_random_revenue_per_user_delta,
+        round({ml} - {rfm}, 6) AS ml_vs_rfm_revenue_per_user_delta FROM policies""",
+        "policies",
+    )
+    cycle = """
+        SELECT '{policy}' AS policy, round(avg(label_net_revenue_30d), 6) AS v FROM (
+            SELECT label_net_revenue_30d FROM scored WHERE slice = '{slice}' ORDER BY round({score}, 6) DESC, user_id LIMIT 200)"""
+    names = (
+        ("ml_top_expected_value", "expected_value_score"),
+        ("random_baseline", "random_policy_score"),
+        ("rfm_heuristic", "rfm_policy_score"),
+    )
+    initial, retrain = (
+        " UNION ALL ".join(cycle.format(policy=p, score=s, slice=part) for p, s in names) for part in ("validation", "test")
+    )
+    d["policy_cycle_comparison"] = on_panel(
+        f"SELECT policy, a.v AS initial, b.v AS retrain FROM ({initial}) a JOIN ({retrain}) b USING (policy)", "scored"
+    )
+    d["predictions_csv_sink"] = on_panel(
+        f"""SELECT {_KEY}, CAST(label_purchase_30d AS INTEGER) AS label_purchase_30d, """
+        + ", ".join(
+            f"round({c}, 6) AS {c}"
+            for c in (
+                "label_net_revenue_30d",
+                "propensity_score",
+                "predicted_conditional_revenue_30d",
+                "expected_value_score",
+                "random_policy_score",
+                "rfm_policy_score",
+            )
+        )
+        + " FROM scored WHERE slice = 'test'",
+        "scored",
+    )
+
+    d["inter_purchase_gaps"] = statement(
+        "SELECT user_id, CAST(event_date AS VARCHAR) AS event_date, CAST(gap_days AS INTEGER) AS gap_days FROM gaps", "gaps"
+    )
+    d["gap_distribution"] = statement(
+        """SELECT count(*) AS gap_observation_count, CAST(list_sort(list(gap_days))[count(*) // 2 + 1] AS INTEGER) AS median_gap_days,
+        round(avg(gap_days), 6) AS mean_gap_days FROM gaps""",
+        "gaps",
+    )
+    d["gap_coverage"] = statement(
+        """SELECT w AS window_days, round(avg(CAST(gap_days <= w AS INTEGER)), 6) AS inter_purchase_gap_coverage
+        FROM gaps, (VALUES (30), (60), (90)) v(w) GROUP BY w""",
+        "gaps",
+    )
+
+    trials = " UNION ALL ".join(
+        f"""SELECT '{kind}|{w}|{m}|{name}' AS g, CAST(label_purchase_{h}d AS BIGINT) AS label, {score} AS propensity_score
+            FROM scored WHERE slice = 'validation'"""
+        for kind, w, h, b in [
+            *(("horizon", h, h, 90) for h in (30, 60, 90)),
+            *(("lookback", b, 30, b) for b in (60, 90, 120)),
+        ]
+        for m, (name, score) in enumerate(
+            (
+                ("logistic_regression", "1.0::DOUBLE / (1.0::DOUBLE + recency_days / 30.0::DOUBLE)"),
+                ("boosted_trees", f"frequency_{b}d / (1.0::DOUBLE + frequency_{b}d)"),
+            )
+        )
+    )
+    d["freeze_decision"] = on_panel(
+        f"""
+        SELECT h.w AS selected_prediction_window_days, b.w AS selected_feature_lookback_days,
+               b.name AS selected_propensity_model_name, h.name AS prediction_window_model, h.ap AS prediction_window_average_precision,
+               b.name AS lookback_model, b.ap AS lookback_average_precision
+        FROM (SELECT * FROM results WHERE kind = 'horizon' ORDER BY ap DESC, w, m LIMIT 1) h,
+             (SELECT * FROM results WHERE kind = 'lookback' ORDER BY ap DESC, w, m LIMIT 1) b""",
+        "scored",
+        "results",
+    )
+    results = f"""
+        SELECT split_part(g, '|', 1) AS kind, CAST(split_part(g, '|', 2) AS INTEGER) AS w, CAST(split_part(g, '|', 3) AS INTEGER) AS m,
+               split_part(g, '|', 4) AS name, round(sum(p::DOUBLE / positives * hits / taken), 6) AS ap
+        FROM ({_THRESHOLDS.format(source=f'({trials})')}) GROUP BY g"""
+    d["freeze_decision"] = d["freeze_decision"].replace("results AS ()", f"results AS ({results})")
+    return d
+
+
+_PARTS.update(
+    {
+        "pairs": (
+            ("splits", "users", "items"),
+            """
+            SELECT DISTINCT user_idx, item_idx FROM splits JOIN users USING (user_id) JOIN items USING (item_id)
+            WHERE split = 'train'""",
+        ),
+        "pop": (
+            ("splits", "items"),
+            """
+            SELECT item_id, item_idx, count(*) AS interactions, count(DISTINCT user_id) AS buyers
+            FROM splits JOIN items USING (item_id) WHERE split = 'train' GROUP BY ALL""",
+        ),
+        "pop_scores": (
+            ("pop",),
+            "SELECT *, ln(1 + interactions) / (SELECT ln(1 + max(interactions)) FROM pop) AS score FROM pop",
+        ),
+        "truth": (
+            ("splits", "users", "items"),
+            """
+            SELECT DISTINCT CASE split WHEN 'val' THEN 'validation' ELSE split END AS split, user_idx, item_idx
+            FROM splits JOIN users USING (user_id) JOIN items USING (item_id) WHERE split <> 'train'""",
+        ),
+        "lists": (
+            ("pop_scores", "users", "pairs"),
+            """
+            SELECT model_name, user_idx, item_idx, score,
+                   row_number() OVER (PARTITION BY model_name, user_idx ORDER BY weight DESC, item_idx) AS rank
+            FROM users, (SELECT 'popularity' AS model_name, item_idx, interactions AS weight, score FROM pop_scores
+                         UNION ALL SELECT 'mf', item_idx, buyers, score FROM pop_scores) p
+            WHERE (user_idx, p.item_idx) NOT IN (SELECT (user_idx, item_idx) FROM pairs)
+            QUALIFY rank <= 20""",
+        ),
+        "judged": (
+            ("lists", "truth"),
+            """
+            SELECT model_name, split, user_idx, hits / relevant AS recall, CAST(hits > 0 AS INTEGER)::DOUBLE AS hit_rate,
+                   dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) r(i) WHERE i <= least(relevant, depth)) AS ndcg
+            FROM (SELECT l.model_name, w.split, l.user_idx, count(t.item_idx) AS hits, count(*) AS depth,
+                         any_value(w.relevant) AS relevant,
+                         coalesce(sum(1 / log2(l.rank + 1)) FILTER (t.item_idx IS NOT NULL), 0) AS dcg
+                  FROM lists l JOIN (SELECT split, user_idx, count(*) AS relevant FROM truth GROUP BY ALL) w USING (user_idx)
+                  LEFT JOIN truth t ON t.split = w.split AND t.user_idx = l.user_idx AND t.item_idx = l.item_idx
+                  GROUP BY l.model_name, w.split, l.user_idx)""",
+        ),
+        "model_rows": (
+            ("judged", "pairs"),
+            """
+            SELECT model_name, split, count(*) AS eligible_users, round(avg(recall), 6) AS recall_at_20,
+                   round(avg(ndcg), 6) AS ndcg_at_20, round(avg(hit_rate), 6) AS hit_rate_at_20
+            FROM judged WHERE user_idx IN (SELECT user_idx FROM pairs) GROUP BY model_name, split""",
+        ),
+    }
+)
+
+
+def recommender_statements() -> dict[str, str]:
+    """Interactions, popularity, exact vector search and ranking metrics, by brute force over all pairs."""
+    d: dict[str, str] = {}
+    d["split_interactions"] = statement("SELECT DISTINCT user_id, split, item_id FROM splits", "splits")
+    d["positive_pairs"] = statement("SELECT * FROM pairs", "pairs")
+    d["popularity_scores"] = statement(
+        "SELECT item_id, item_idx, interactions, round(score, 6) AS score FROM pop_scores", "pop_scores"
+    )
+    d["tfidf_interactions"] = statement(
+        """SELECT user_idx, item_idx, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY user_idx)), 6) AS weight FROM (
+            SELECT user_idx, item_idx, ln(1 + (SELECT count(*) FROM users) / count(*) OVER (PARTITION BY item_idx)) AS idf FROM pairs)""",
+        "pairs",
+        "users",
+    )
+    d["candidate_items"] = statement(
+        """SELECT user_idx, count(p.item_idx) AS seen_items, (SELECT count(*) FROM items) - count(p.item_idx) AS candidate_items
+        FROM users LEFT JOIN pairs p USING (user_idx) GROUP BY user_idx""",
+        "users",
+        "items",
+        "pairs",
+    )
+    d["popularity_top_k"] = statement(
+        "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM lists WHERE model_name = 'popularity'", "lists"
+    )
+    vectors = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+    d["l2_normalize_rows"] = f"""
+        SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, round(v[pos] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS value
+        FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS pos FROM {vectors})"""
+    d["dot_product_scores"] = f"""
+        SELECT a.vec_id AS user_idx, b.vec_id AS item_idx, round(list_dot_product(a.v, b.v), 6) AS score
+        FROM {vectors} a JOIN {vectors} b ON b.vec_id = a.vec_id + 1"""
+    d["embedding_top_k"] = f"""
+        SELECT user_idx, rank, item_idx, round(s, 6) AS score FROM (
+            SELECT user_idx, item_idx, s, row_number() OVER (PARTITION BY user_idx ORDER BY s DESC, item_idx) AS rank FROM (
+                SELECT a.vec_id AS user_idx, b.vec_id AS item_idx, list_dot_product(a.v, b.v) AS s
+                FROM {vectors} a JOIN {vectors} b ON a.vec_id <> b.vec_id))
+        WHERE rank <= 10"""
+    d["held_out_truth"] = statement("SELECT user_idx, item_idx FROM truth WHERE split = 'validation'", "truth")
+    d["eligible_users"] = statement(
+        "SELECT DISTINCT user_idx FROM truth WHERE split = 'validation' AND user_idx IN (SELECT user_idx FROM pairs)",
+        "truth",
+        "pairs",
+    )
+    d["rank_candidates"] = statement(
+        """SELECT user_idx, item_idx, rank, round(score, 6) AS score FROM (
+            SELECT user_idx, item_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank
+            FROM pairs JOIN pop_scores USING (item_idx)) WHERE rank <= 20""",
+        "pairs",
+        "pop_scores",
+    )
+    for metric in ("recall", "hit_rate", "ndcg"):
+        d[f"{metric}_at_k"] = statement(
+            f"SELECT user_idx, round({metric}, 6) AS {metric} FROM judged WHERE model_name = 'popularity' AND split = 'validation'",
+            "judged",
+        )
+    d["model_metrics"] = statement("SELECT * FROM model_rows", "model_rows")
+    d["select_best_model"] = statement(
+        """SELECT model_name AS selected_model_name, recall_at_20 FROM model_rows WHERE split = 'validation'
+        ORDER BY recall_at_20 DESC, model_name = 'mf' LIMIT 1""",
+        "model_rows",
+    )
+    d["recall_comparison"] = statement(
+        """SELECT model_name, v.recall_at_20 AS validation_recall_at_20, t.recall_at_20 AS test_recall_at_20
+        FROM model_rows v JOIN model_rows t USING (model_name) WHERE v.split = 'validation' AND t.split = 'test'""",
+        "model_rows",
+    )
+    anchor = "(20 / (SELECT count(*) FROM items))"
+    d["random_recall_anchor"] = statement(
+        f"""SELECT model_name, split, recall_at_20, round({anchor}, 6) AS random_recall_anchor, round(recall_at_20 / {anchor}, 6) AS lift
+        FROM model_rows""",
+        "model_rows",
+        "items",
+    )
+    d["interpretation_kpis"] = statement(
+        f"""SELECT 'recommender' AS report, split AS area, model_name || '_recall_at_20' AS kpi, recall_at_20 AS value FROM model_rows
+        UNION ALL SELECT 'recommender', split, model_name || '_lift_over_random', round(recall_at_20 / {anchor}, 6) FROM model_rows""",
+        "model_rows",
+        "items",
+    )
+    return d
+
+
 def all_statements() -> dict[str, str]:
-    return {**gold_statements(), **dq_statements()}
+    return {**gold_statements(), **dq_statements(), **propensity_statements(), **recommender_statements()}

@@ -12,11 +12,26 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.functions.columns import normalize_user_id
+from bazaarflow.functions.columns import normalize_user_id, round_half_away
 from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir
-from bazaarflow.operators import dq, features, labels, silver, splits
+from bazaarflow.operators import (
+    dq,
+    features,
+    labels,
+    metrics,
+    models,
+    policy,
+    prep,
+    ranking,
+    retrieval,
+    sensitivity,
+    silver,
+    splits,
+    validate,
+)
+from bazaarflow.plans import propensity, recommender
 from bazaarflow.plans.oracle import AS_OF, INTERACTIONS_FROM, INTERACTIONS_TO, PANEL_END
-from bazaarflow.schemas import RAW_COLUMNS
+from bazaarflow.schemas import EVALUATION_K, RAW_COLUMNS
 from bazaarflow.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,5 +222,432 @@ def dq_queries() -> dict[str, Query]:
     }
 
 
+# --- propensity: preparation, metrics, policies -------------------------------------------------------------------
+HORIZON, LOOKBACK, BUDGET, COST = 30, 90, 1000.0, 5.0
+# Boosting rounds of the registered model queries; the operators default to 300 and 200.
+ROUNDS = 10
+REVENUE = f"predicted_conditional_revenue_{HORIZON}d"
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.training_rows(_panel(spark, sf), HORIZON, LOOKBACK)
+
+
+def _sliced(spark: SparkSession, sf: str) -> DataFrame:
+    """Sliced training rows, frozen because the slicing step already has to read the dates."""
+    return prep.split_10_1_1(cut_lineage(_rows(spark, sf)))
+
+
+def _capped(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    rows = _sliced(spark, sf)
+    cap = prep.spend_cap_value(rows.filter("slice = 'train'"), LOOKBACK).first()[0]
+    return prep.apply_spend_cap(rows, LOOKBACK, cap), cap
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with deterministic stand-in scores, so that metrics and policies have an exact expected result."""
+    panel = _panel(spark, sf).withColumn("as_of_date", F.col("as_of_date").cast("string"))
+    chance = round_half_away(F.lit(1.0) / (F.lit(1.0) + F.col("recency_days") / F.lit(30.0)), 6)
+    scored = panel.withColumn("propensity_score", chance).withColumn(REVENUE, F.col("avg_basket_value_90d"))
+    scored = policy.rfm_policy_score(policy.random_policy_score(policy.expected_value_score(scored, REVENUE)), LOOKBACK)
+    last = {"test": PANEL[-1], "validation": PANEL[-2]}
+    name = F.lit("train")
+    for part, day in last.items():
+        name = F.when(F.col("as_of_date") == str(day), part).otherwise(name)
+    return scored.withColumn("slice", name)
+
+
+def _metric(function) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(function(_scored(spark, sf), f"label_purchase_{HORIZON}d", "propensity_score"))
+
+    return query
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Every double at six decimals."""
+    return df.select(
+        *(
+            round_half_away(F.col(f"`{f.name}`"), 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
+            for f in df.schema
+        )
+    )
+
+
+def _apply_spend_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_capped(spark, sf)[0].select("user_id", "as_of_date", f"monetary_{LOOKBACK}d"))
+
+
+def _country_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _sliced(spark, sf).select("user_id", "as_of_date", "country", "slice")
+    return prep.country_one_hot(rows.filter("slice = 'train'"), rows.drop("slice"))
+
+
+def _feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _sliced(spark, sf)
+    fitted = prep.feature_assembly(LOOKBACK).fit(rows.filter("slice <> 'test'"))
+    return fitted.transform(rows).select(
+        "user_id", "as_of_date", "slice", models.vector_to_array("features").alias("features")
+    )
+
+
+def _test_slice(spark: SparkSession, sf: str, part: str = "test") -> DataFrame:
+    return _scored(spark, sf).filter(F.col("slice") == part)
+
+
+def _policies(spark: SparkSession, sf: str, part: str = "test") -> DataFrame:
+    return policy.policy_comparison(cut_lineage(_test_slice(spark, sf, part)), BUDGET, COST, HORIZON)
+
+
+def _predictions_csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    return writers.predictions_csv_sink(_test_slice(spark, sf), scratch_path(spark, "predictions"), HORIZON)
+
+
+def _policy_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.policy_cycle_comparison(
+        {"initial": _policies(spark, sf, "validation"), "retrain": _policies(spark, sf, "test")}
+    )
+
+
+def _gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return sensitivity.inter_purchase_gaps(_silver(spark, sf))
+
+
+def _recency_scorer(fit: DataFrame, score: DataFrame, lookback: int) -> DataFrame:
+    return score.withColumn("propensity_score", F.lit(1.0) / (F.lit(1.0) + F.col("recency_days") / F.lit(30.0)))
+
+
+def _frequency_scorer(fit: DataFrame, score: DataFrame, lookback: int) -> DataFrame:
+    frequency = F.col(f"frequency_{lookback}d")
+    return score.withColumn("propensity_score", frequency / (F.lit(1.0) + frequency))
+
+
+def _freeze_decision(spark: SparkSession, sf: str) -> DataFrame:
+    scorers = {"logistic_regression": _recency_scorer, "boosted_trees": _frequency_scorer}
+    return sensitivity.freeze_decision(sensitivity.window_sweep(cut_lineage(_panel(spark, sf)), scorers))
+
+
+def propensity_queries() -> dict[str, Query]:
+    label = f"label_purchase_{HORIZON}d"
+    return {
+        "training_rows": _rows,
+        "split_10_1_1": lambda s, sf: _sliced(s, sf).select("user_id", "as_of_date", "slice"),
+        "label_class_check": lambda s, sf: prep.label_class_check(_sliced(s, sf).filter("slice = 'train'")),
+        "spend_cap_value": lambda s, sf: rounded(
+            prep.spend_cap_value(_sliced(s, sf).filter("slice = 'train'"), LOOKBACK)
+        ),
+        "apply_spend_cap": _apply_spend_cap,
+        "country_one_hot": _country_one_hot,
+        "feature_assembly": _feature_assembly,
+        "revenue_fallback_mean": lambda s, sf: rounded(
+            models.revenue_fallback_mean(_sliced(s, sf).filter("slice = 'train'"))
+        ),
+        "roc_auc": _metric(metrics.roc_auc),
+        "average_precision": _metric(metrics.average_precision),
+        "top_decile_lift": _metric(metrics.top_decile_lift),
+        "brier_score": _metric(metrics.brier_score),
+        "ece_10_bin": _metric(metrics.ece_10_bin),
+        "revenue_errors": lambda s, sf: metrics.revenue_errors(
+            _scored(s, sf), f"label_net_revenue_{HORIZON}d", REVENUE, label
+        ),
+        "expected_value_score": lambda s, sf: rounded(
+            _scored(s, sf).select("user_id", "as_of_date", "expected_value_score")
+        ),
+        "random_policy_score": lambda s, sf: rounded(
+            _scored(s, sf).select("user_id", "as_of_date", "random_policy_score")
+        ),
+        "rfm_policy_score": lambda s, sf: rounded(_scored(s, sf).select("user_id", "as_of_date", "rfm_policy_score")),
+        "budget_top_k": lambda s, sf: rounded(
+            policy.budget_top_k(_test_slice(s, sf), "rfm_policy_score", BUDGET, COST).select(
+                "user_id", "as_of_date", "rfm_policy_score"
+            )
+        ),
+        "policy_comparison": _policies,
+        "policy_deltas": lambda s, sf: policy.policy_deltas(_policies(s, sf)),
+        "policy_cycle_comparison": _policy_cycles,
+        "predictions_csv_sink": _predictions_csv_sink,
+        "inter_purchase_gaps": lambda s, sf: plain(_gaps(s, sf)),
+        "gap_distribution": lambda s, sf: sensitivity.gap_distribution(_gaps(s, sf)),
+        "gap_coverage": lambda s, sf: sensitivity.gap_coverage(_gaps(s, sf)),
+        "freeze_decision": _freeze_decision,
+    }
+
+
+# --- propensity: trained models (rows-only checks) ----------------------------------------------------------------
+def _fit_and_score(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, float]:
+    rows, cap = _capped(spark, sf)
+    return rows.filter("slice = 'train'"), rows.filter("slice = 'validation'"), cap
+
+
+def _base_model(name: str, rounds: int | None = None) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        fit, score, _ = _fit_and_score(spark, sf)
+        fitted = models.fit_base_model(name, fit, LOOKBACK, rounds)
+        out = fitted.transform(score)
+        return out.select("user_id", "as_of_date", models.vector_to_array("probability")[1].alias("probability"))
+
+    return query
+
+
+def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    fit, score, _ = _fit_and_score(spark, sf)
+    return models.calibrated_scores(fit, score, "boosted_trees", LOOKBACK, max_iter=ROUNDS).select(
+        "user_id", "as_of_date", "propensity_score"
+    )
+
+
+def _stage(function) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows, _ = _capped(spark, sf)
+        return function(rows, "logistic_regression", LOOKBACK).select("user_id", "as_of_date", "propensity_score")
+
+    return query
+
+
+def _conditional_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    fit, score, _ = _fit_and_score(spark, sf)
+    return models.conditional_revenue(fit, score, LOOKBACK, max_iter=ROUNDS).select(
+        "user_id", "as_of_date", "predicted_conditional_revenue"
+    )
+
+
+def _batch_score_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    clean = cut_lineage(_silver(spark, sf))
+    rows = prep.split_10_1_1(prep.training_rows(labels.propensity_panel(clean, PANEL_END), HORIZON, LOOKBACK))
+    rows = rows.persist()
+    fit = rows.filter("slice <> 'test'")
+    cap = prep.spend_cap_value(rows.filter("slice = 'train'"), LOOKBACK).first()[0]
+    fit = prep.apply_spend_cap(fit, LOOKBACK, cap)
+    folder = scratch_path(spark, "model")
+    models.fit_calibrated(fit, "logistic_regression", LOOKBACK).save(f"{folder}/propensity")
+    models.fit_conditional_revenue(fit, LOOKBACK, max_iter=ROUNDS).save(f"{folder}/revenue")
+    propensity = models.CalibratedPropensity.load(spark, f"{folder}/propensity")
+    revenue = models.ConditionalRevenue.load(spark, f"{folder}/revenue")
+    snapshot = features.user_features_asof(clean, [PANEL[-1]])
+    return rounded(models.batch_score_snapshot(snapshot, propensity, revenue, cap, HORIZON))
+
+
+def _train_metrics_table(spark: SparkSession, sf: str) -> DataFrame:
+    scored = cut_lineage(_scored(spark, sf))
+    return metrics.train_metrics_table(
+        scored.filter("slice = 'validation'"),
+        scored.filter("slice = 'test'"),
+        scored.filter("slice = 'train'"),
+        {"prediction_window_days": HORIZON, "feature_lookback_days": LOOKBACK},
+        label=f"label_purchase_{HORIZON}d",
+        actual=f"label_net_revenue_{HORIZON}d",
+        predicted=REVENUE,
+    )
+
+
+def _window_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return sensitivity.window_sweep(
+        cut_lineage(_panel(spark, sf)), sensitivity.trained_scorers(("logistic_regression",))
+    )
+
+
+def model_queries() -> dict[str, Query]:
+    return {
+        "propensity_logistic": _base_model("logistic_regression"),
+        "propensity_gbt": _base_model("boosted_trees", ROUNDS),
+        "calibrated_scores": _calibrated,
+        "fit_validation_stage": _stage(models.fit_validation_stage),
+        "fit_test_stage": _stage(models.fit_test_stage),
+        "conditional_revenue": _conditional_revenue,
+        "batch_score_snapshot": _batch_score_snapshot,
+        "train_metrics_table": _train_metrics_table,
+        "window_sweep": _window_sweep,
+    }
+
+
+# --- recommender --------------------------------------------------------------------------------------------------
+# Vector width of the registered factor models; the operators default to 64.
+WIDTH = 16
+
+
+def _gold(spark: SparkSession, sf: str) -> recommender.RecommenderGold:
+    """Split rows, indices and train pairs without the gates, which have queries of their own."""
+    rows = cut_lineage(_splits(spark, sf))
+    users, items = splits.user_index(rows), splits.item_index(rows)
+    pairs = cut_lineage(retrieval.positive_pairs(rows, users, items))
+    return recommender.RecommenderGold(rows, users, items, pairs, users.count(), items.count())
+
+
+def _popularity(gold: recommender.RecommenderGold, **options) -> DataFrame:
+    return retrieval.popularity_scores(gold.split_rows, gold.item_index, **options)
+
+
+def _popular_lists(gold: recommender.RecommenderGold, **options) -> DataFrame:
+    return retrieval.popularity_top_k(_popularity(gold, **options), gold.user_index, gold.pairs, EVALUATION_K)
+
+
+def _popular_metrics(gold: recommender.RecommenderGold) -> DataFrame:
+    """Two exact rankings under two model names: popularity by rows, and by distinct users as the stand-in for mf."""
+    lists = {"popularity": _popular_lists(gold), "mf": _popular_lists(gold, distinct_users=True)}
+    return ranking.model_metrics(lists, recommender.held_out(gold), gold.pairs, gold.n_items)
+
+
+def _on_gold(function) -> Query:
+    return lambda spark, sf: function(_gold(spark, sf))
+
+
+def _tfidf(gold: recommender.RecommenderGold) -> DataFrame:
+    return retrieval.tfidf_interactions(gold.pairs, gold.n_users)
+
+
+def _validation_truth(gold: recommender.RecommenderGold) -> DataFrame:
+    return recommender.held_out(gold)["validation"]
+
+
+def _per_user(metric) -> Query:
+    return _on_gold(lambda gold: rounded(metric(_popular_lists(gold), _validation_truth(gold))))
+
+
+def _vectors(spark: SparkSession, sf: str, key: str) -> DataFrame:
+    table = readers.table(spark, sf, "embeddings")
+    return table.select(F.col("vec_id").alias(key), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _l2_normalize_rows(spark: SparkSession, sf: str) -> DataFrame:
+    unit = retrieval.l2_normalize_rows(_vectors(spark, sf, "vec_id"))
+    return rounded(unit.select("vec_id", F.posexplode("vector").alias("pos", "value")))
+
+
+def _dot_product_scores(spark: SparkSession, sf: str) -> DataFrame:
+    users, items = _vectors(spark, sf, "user_idx"), _vectors(spark, sf, "item_idx")
+    pairs = users.select("user_idx", (F.col("user_idx") + 1).alias("item_idx"))
+    return rounded(retrieval.dot_product_scores(users, items, pairs))
+
+
+def _embedding_search(search) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        users, items = _vectors(spark, sf, "user_idx"), _vectors(spark, sf, "item_idx")
+        itself = users.select("user_idx", F.col("user_idx").alias("item_idx"))
+        return rounded(search(users, items, itself, 10))
+
+    return query
+
+
+def _mf_factors(gold: recommender.RecommenderGold) -> DataFrame:
+    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
+    return users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), "vector").unionByName(
+        items.select(F.lit("item").alias("side"), F.col("item_idx").alias("idx"), "vector")
+    )
+
+
+def _learned_retriever(gold: recommender.RecommenderGold) -> DataFrame:
+    users, items = retrieval.learned_retriever(gold.pairs, WIDTH)
+    return users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), "vector").unionByName(
+        items.select(F.lit("item").alias("side"), F.col("item_idx").alias("idx"), "vector")
+    )
+
+
+def _item_embedding_table(gold: recommender.RecommenderGold) -> DataFrame:
+    _, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
+    return retrieval.item_embedding_table(items, gold.item_index, "mf")
+
+
+def _topk_recommendations(gold: recommender.RecommenderGold) -> DataFrame:
+    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
+    everyone = retrieval.with_zero_vectors(gold.user_index, users, WIDTH)
+    ranked = retrieval.embedding_top_k(everyone, items, gold.pairs, EVALUATION_K)
+    return retrieval.topk_recommendations("mf", ranked, gold.user_index, gold.item_index)
+
+
+def _rank_candidates(gold: recommender.RecommenderGold) -> DataFrame:
+    """Ranks the items each user has bought in training by popularity: a pair table of known size."""
+    scored = gold.pairs.join(_popularity(gold).select("item_idx", "score"), "item_idx")
+    return rounded(ranking.rank_candidates(scored).select("user_idx", "item_idx", "rank", "score"))
+
+
+def _retriever_sweep(gold: recommender.RecommenderGold) -> DataFrame:
+    base = {"rank": WIDTH, "max_iter": 10}
+    return ranking.retriever_sweep(gold.pairs, recommender.held_out(gold), gold.user_index, gold.n_items, base)
+
+
+def recommender_queries() -> dict[str, Query]:
+    return {
+        "split_interactions": _on_gold(lambda g: retrieval.split_interactions(g.split_rows)),
+        "positive_pairs": _on_gold(lambda g: g.pairs),
+        "sampled_negatives": _on_gold(lambda g: retrieval.sampled_negatives(g.pairs, 8, g.n_items)),
+        "popularity_scores": _on_gold(lambda g: rounded(_popularity(g))),
+        "tfidf_interactions": _on_gold(lambda g: rounded(_tfidf(g))),
+        "mf_factors": _on_gold(_mf_factors),
+        "learned_retriever": _on_gold(_learned_retriever),
+        "l2_normalize_rows": _l2_normalize_rows,
+        "candidate_items": _on_gold(lambda g: retrieval.candidate_items(g.user_index, g.item_index, g.pairs)),
+        "dot_product_scores": _dot_product_scores,
+        "popularity_top_k": _on_gold(lambda g: rounded(_popular_lists(g))),
+        "embedding_top_k": _embedding_search(retrieval.embedding_top_k),
+        "approx_top_k": _embedding_search(retrieval.approx_top_k),
+        "item_embedding_table": _on_gold(_item_embedding_table),
+        "topk_recommendations": _on_gold(_topk_recommendations),
+        "held_out_truth": _on_gold(_validation_truth),
+        "eligible_users": _on_gold(lambda g: ranking.eligible_users(_validation_truth(g), g.pairs, g.n_items)),
+        "rank_candidates": _on_gold(_rank_candidates),
+        "recall_at_k": _per_user(ranking.recall_at_k),
+        "hit_rate_at_k": _per_user(ranking.hit_rate_at_k),
+        "ndcg_at_k": _per_user(ranking.ndcg_at_k),
+        "model_metrics": _on_gold(_popular_metrics),
+        "select_best_model": _on_gold(lambda g: ranking.select_best_model(_popular_metrics(g))),
+        "recall_comparison": _on_gold(lambda g: ranking.recall_comparison(_popular_metrics(g))),
+        "random_recall_anchor": _on_gold(
+            lambda g: ranking.random_recall_anchor(_popular_metrics(g), EVALUATION_K, g.n_items)
+        ),
+        "retriever_sweep": _on_gold(_retriever_sweep),
+    }
+
+
+# --- whole runs and their gates -----------------------------------------------------------------------------------
+def _propensity_run(spark: SparkSession, sf: str) -> propensity.PropensityRun:
+    return propensity.propensity_pipeline(
+        cut_lineage(_silver(spark, sf)),
+        PANEL_END,
+        mode="fixed",
+        model="logistic_regression",
+        horizon=HORIZON,
+        lookback=LOOKBACK,
+        budget=BUDGET,
+        cost=COST,
+        revenue_iter=ROUNDS,
+    )
+
+
+def _recommender_run(spark: SparkSession, sf: str) -> recommender.RecommenderRun:
+    clean = cut_lineage(_silver(spark, sf))
+    return recommender.recommender_pipeline(clean, INTERACTIONS_FROM, INTERACTIONS_TO, EVALUATION_K, WIDTH, WIDTH)
+
+
+def _stand_in_checks(spark: SparkSession, sf: str) -> DataFrame:
+    scored = cut_lineage(_scored(spark, sf))
+    parts = [scored.filter(F.col("slice") == part) for part in ("validation", "test")]
+    table = metrics.train_metrics_table(
+        *parts, label=f"label_purchase_{HORIZON}d", actual=f"label_net_revenue_{HORIZON}d", predicted=REVENUE
+    )
+    compared = [policy.policy_comparison(part, BUDGET, COST, HORIZON) for part in parts]
+    return validate.validate_propensity_outputs("logistic_regression", table, *compared)
+
+
+def pipeline_queries() -> dict[str, Query]:
+    return {
+        "validate_propensity_outputs": _stand_in_checks,
+        "validate_recommender_outputs": lambda s, sf: _recommender_run(s, sf).checks,
+        "propensity_pipeline": lambda s, sf: writers.predictions_table(_propensity_run(s, sf).scored_test, HORIZON),
+        "recommender_pipeline": lambda s, sf: _recommender_run(s, sf).topk,
+        "interpretation_kpis": lambda s, sf: validate.interpretation_kpis(
+            recommender=validate.recommender_kpis(
+                _on_gold(lambda g: ranking.random_recall_anchor(_popular_metrics(g), EVALUATION_K, g.n_items))(s, sf)
+            )
+        ),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**gold_queries(), **dq_queries()}
+    return {
+        **gold_queries(),
+        **dq_queries(),
+        **propensity_queries(),
+        **model_queries(),
+        **recommender_queries(),
+        **pipeline_queries(),
+    }
