@@ -25,7 +25,10 @@ def parse_number(text: Column) -> Column:
 
 def normalize_user_id(col: Column) -> Column:
     """``12345.0`` to ``12345``; ids that are not all digits before the ``.0`` stay as they are."""
-    return F.regexp_replace(F.trim(col), WHOLE_NUMBER_WITH_POINT_ZERO, "$1")
+    trimmed = F.trim(col)
+    # The cheap suffix test keeps the pattern away from ids that are clean already.
+    stripped = F.regexp_replace(trimmed, WHOLE_NUMBER_WITH_POINT_ZERO, "$1")
+    return F.when(F.endswith(trimmed, F.lit(".0")), stripped).otherwise(trimmed)
 
 
 def blank_to_null(col: Column) -> Column:

@@ -51,38 +51,47 @@ def sorted_blocks(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return cut_lineage(placed)
 
 
-def _block_offsets(blocks: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, float]]:
-    """Per block, the totals of all earlier blocks; and the grand totals. One row per block goes to the driver."""
-    rows = blocks.groupBy("_block").agg(*(expr.alias(name) for name, expr in sums.items())).orderBy("_block").collect()
-    running = {name: 0 for name in sums}
-    offsets = []
-    for row in rows:
-        offsets.append((row["_block"], *(running[name] for name in sums)))
+def _block_offsets(blocks: DataFrame, sums: dict[str, Column]) -> tuple[dict[str, Column], dict[str, int]]:
+    """Per block, the totals of all earlier blocks as a looked-up column; and the grand totals.
+
+    One row per block goes to the driver and comes back as an array literal, so no join is needed. Totals are whole
+    numbers.
+    """
+    rows = blocks.groupBy("_block").agg(*(expr.alias(name) for name, expr in sums.items())).collect()
+    by_block = {row["_block"]: row for row in rows}
+    offsets: dict[str, list[int]] = {name: [] for name in sums}
+    running = dict.fromkeys(sums, 0)
+    for block in range(max(by_block, default=-1) + 1):
         for name in sums:
-            running[name] += row[name] or 0
-    types = {field.name: field.dataType.simpleString() for field in blocks.agg(*(e.alias(n) for n, e in sums.items())).schema}
-    schema = ", ".join(["_block bigint", *(f"_offset_{name} {types[name]}" for name in sums)])
-    return blocks.sparkSession.createDataFrame(offsets, schema), running
+            offsets[name].append(running[name])
+            if block in by_block:
+                running[name] += int(by_block[block][name] or 0)
+    columns = {}
+    for name in sums:
+        table = F.array(*(F.lit(value).cast("bigint") for value in offsets[name] or [0]))
+        columns[name] = F.get(table, F.col("_block").cast("int"))
+    return columns, running
 
 
 def with_ordinal(df: DataFrame, order: Sequence[Column | str], name: str = "ordinal") -> tuple[DataFrame, int]:
     """Add the 0-based global position under ``order``; also return the row count."""
     blocks = sorted_blocks(df, order)
     offsets, totals = _block_offsets(blocks, {"rows": F.count(F.lit(1))})
-    placed = blocks.join(F.broadcast(offsets), "_block")
-    return placed.select(*df.columns, (F.col("_pos") + F.col("_offset_rows")).alias(name)), totals["rows"]
+    return blocks.select(*df.columns, (F.col("_pos") + offsets["rows"]).alias(name)), totals["rows"]
 
 
 def with_running_totals(
     df: DataFrame, order: Sequence[Column | str], sums: dict[str, str]
-) -> tuple[DataFrame, dict[str, float]]:
-    """Add inclusive running totals under ``order``: ``sums`` maps new column to summed column. Also the grand totals."""
+) -> tuple[DataFrame, dict[str, int]]:
+    """Add inclusive running totals under ``order``: ``sums`` maps each new column to a whole-number column.
+
+    Also returns the grand totals.
+    """
     blocks = sorted_blocks(df, order)
     offsets, totals = _block_offsets(blocks, {name: F.sum(column) for name, column in sums.items()})
     inside = Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = blocks.select(*df.columns, "_block", *(F.sum(c).over(inside).alias(n) for n, c in sums.items()))
-    shifted = running.join(F.broadcast(offsets), "_block")
-    return shifted.select(*df.columns, *((F.col(n) + F.col(f"_offset_{n}")).alias(n) for n in sums)), totals
+    running = [(F.sum(column).over(inside) + offsets[name]).alias(name) for name, column in sums.items()]
+    return blocks.select(*df.columns, *running), totals
 
 
 def rank_within(df: DataFrame, key: str, order: Sequence[Column | str], name: str) -> DataFrame:

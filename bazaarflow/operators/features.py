@@ -10,8 +10,9 @@ from __future__ import annotations
 import calendar
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import from_ticks, has_user, to_ticks
@@ -46,17 +47,23 @@ def snapshot_list(snapshots: Snapshots) -> list[date]:
     return dates
 
 
-def date_array(dates: Sequence[date]) -> Column:
-    return F.array(*(F.lit(d) for d in dates))
+def dates_before(dates: Sequence[date], day: Column) -> Column:
+    """How many of the sorted dates lie before ``day``."""
+    return reduce(lambda a, b: a + b, ((F.lit(d) < day).cast("int") for d in dates))
+
+
+def explode_dates(dates: Sequence[date], skip: Column, until: Column) -> Column:
+    """One row for each of the sorted dates number ``skip`` to ``until`` (0-based, end excluded)."""
+    return F.explode(F.slice(F.array(*(F.lit(d) for d in dates)), skip + 1, F.greatest(until - skip, F.lit(0))))
 
 
 def asof_events(silver: DataFrame, snapshots: Snapshots) -> DataFrame:
     """Events of known users up to and including each snapshot, returns included."""
     dates = snapshot_list(snapshots)
     events = silver.filter(has_user() & (F.col("event_date") <= F.lit(dates[-1])))
-    reached = F.filter(date_array(dates), lambda d: d >= F.col("event_date"))
+    reached = explode_dates(dates, dates_before(dates, F.col("event_date")), F.lit(len(dates)))
     return events.select(
-        F.explode(reached).alias("as_of_date"),
+        reached.alias("as_of_date"),
         "user_id",
         "invoice_id",
         "event_ts",
@@ -141,72 +148,89 @@ def _mean_ticks(total: Column, count: Column) -> Column:
     return from_ticks(F.round(F.try_divide(total.cast("double"), count.cast("double"))))
 
 
-def user_features_asof(silver: DataFrame, snapshots: Snapshots) -> DataFrame:
-    """One row of features per user and snapshot.
+def snapshot_rollup(silver: DataFrame, dates: Sequence[date], horizons: Sequence[int] = ()) -> DataFrame:
+    """Lookback sums, last purchase and, when asked, forward sums of every (user, snapshot) in one pass.
 
-    Lines shrink to (user, invoice, day, country) before anything is expanded. A purchase day then goes only to the
-    snapshots whose longest lookback covers it, and to the first snapshot after it so that every user is seen. Later
-    snapshots inherit the last purchase through a per-user map with at most one entry per snapshot.
+    1. Lines shrink to (user, invoice, day, country) before anything is expanded.
+    2. A day goes only to the snapshots within reach: the first one after it, those whose longest lookback covers it, and
+       those whose longest horizon it falls in. These are neighbours in the sorted list, so they are one slice of it.
+    3. Sums go over invoices first and then over users, both combined before the shuffle.
+    4. The at most one row per user and snapshot is carried forward over the snapshots that had nothing in reach.
     """
-    dates = snapshot_list(snapshots)
-    longest = max(WINDOWS)
+    day, longest = F.col("event_date"), max(WINDOWS)
+    ahead = max(horizons, default=0)
     bought = F.col("quantity") > 0
     days = (
-        silver.filter(has_user() & (F.col("event_date") <= F.lit(dates[-1])))
+        silver.filter(has_user() & (day <= F.date_add(F.lit(dates[-1]), ahead)))
         .groupBy("user_id", "invoice_id", "event_date", "country")
         .agg(
             F.sum(F.when(bought, to_ticks(F.col("line_revenue")))).alias("ticks"),
             F.max(F.when(bought, F.col("event_ts"))).alias("last_ts"),
         )
     )
-    after = F.filter(date_array(dates), lambda d: d >= F.col("event_date"))
-    covering = F.filter(F.col("after"), lambda d: (d == F.col("after")[0]) | (_age(d) < longest))
-    placed = days.withColumn("after", after).withColumn("as_of_date", F.explode(covering)).drop("after")
+    first_after = dates_before(dates, day)
+    covered = F.greatest(dates_before(dates, F.date_add(day, longest)), first_after + 1)
+    begin = dates_before(dates, F.date_sub(day, ahead)) if horizons else first_after
+    placed = days.withColumn("as_of_date", explode_dates(dates, begin, F.least(covered, F.lit(len(dates)))))
 
+    past = _age() >= 0
     invoices = placed.groupBy("user_id", "as_of_date", "invoice_id").agg(
-        *(F.sum(F.when(_age() < w, F.col("ticks"))).alias(f"ticks_{w}") for w in WINDOWS),
-        F.max(F.when(F.col("last_ts").isNotNull(), F.struct("last_ts", "country"))).alias("latest"),
+        *(F.sum(F.when(past & (_age() < w), F.col("ticks"))).alias(f"ticks_{w}") for w in WINDOWS),
+        *(F.sum(F.when(_age().between(-h, -1), F.col("ticks"))).alias(f"future_{h}") for h in horizons),
+        F.max(past).alias("seen"),
+        F.max(F.when(past & F.col("last_ts").isNotNull(), F.struct("last_ts", "country"))).alias("latest"),
     )
     # ticks_w is NULL exactly when the invoice has no purchase line in the window, so counting it counts invoices.
     active = invoices.groupBy("user_id", "as_of_date").agg(
         *(F.count(f"ticks_{w}").alias(f"frequency_{w}d") for w in WINDOWS),
         *(F.coalesce(F.sum(f"ticks_{w}"), F.lit(0)).alias(f"ticks_{w}") for w in WINDOWS),
+        *(F.sum(f"future_{h}").alias(f"future_{h}") for h in horizons),
+        F.max("seen").alias("seen"),
         F.max("latest").alias("latest"),
     )
 
-    metrics = [name for name in active.columns if name not in ("user_id", "as_of_date")]
-    per_user = active.groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("as_of_date", F.struct(*metrics)))).alias("by_date")
-    )
-    first_seen = F.array_min(F.map_keys("by_date"))
-    rows = per_user.select(
-        "user_id", F.explode(F.filter(date_array(dates), lambda d: d >= first_seen)).alias("as_of_date"), "by_date"
-    )
-    earlier = F.filter(F.map_entries("by_date"), lambda e: e["key"] <= F.col("as_of_date"))
-    rows = rows.select(
-        "user_id",
-        "as_of_date",
-        F.try_element_at("by_date", F.col("as_of_date")).alias("now"),
-        F.array_max(F.transform(earlier, lambda e: e["value"]["latest"])).alias("latest"),
+    in_time = Window.partitionBy("user_id").orderBy("as_of_date")
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.lead("as_of_date").over(in_time)
+    spans = active.withColumns(
+        {
+            "until": F.coalesce(dates_before(dates, following), F.lit(len(dates))),
+            "seen": F.max("seen").over(so_far),
+            "latest": F.max("latest").over(so_far),
+        }
+    ).filter("seen")
+    carried = spans.withColumnRenamed("as_of_date", "from_date").withColumn(
+        "as_of_date", explode_dates(dates, dates_before(dates, F.col("from_date")), F.col("until"))
     )
+    now = F.col("as_of_date") == F.col("from_date")
     zero = F.lit(0).cast("bigint")
-
-    def count(w: int) -> Column:
-        return F.coalesce(F.col(f"now.frequency_{w}d"), zero)
-
-    def ticks(w: int) -> Column:
-        return F.coalesce(F.col(f"now.ticks_{w}"), zero)
-
-    recency = F.date_diff(F.col("as_of_date"), F.to_date("latest.last_ts"))
-    return rows.select(
+    return carried.select(
         "user_id",
         "as_of_date",
-        F.coalesce(recency, F.lit(NO_PURCHASE_RECENCY)).cast("bigint").alias("recency_days"),
-        *(count(w).alias(f"frequency_{w}d") for w in WINDOWS),
-        *(from_ticks(ticks(w)).alias(f"monetary_{w}d") for w in WINDOWS),
         *(
-            F.coalesce(_mean_ticks(ticks(w), count(w)), F.lit(0.0)).alias(f"avg_basket_value_{w}d")
-            for w in LOOKBACKS
+            F.when(now, F.col(f"{kind}_{w}{unit}")).otherwise(zero).alias(f"{kind}_{w}{unit}")
+            for kind, unit in (("frequency", "d"), ("ticks", ""))
+            for w in WINDOWS
         ),
-        F.coalesce("latest.country", F.lit(UNKNOWN_COUNTRY)).alias("country"),
+        *(F.when(now, F.col(f"future_{h}")).alias(f"future_{h}") for h in horizons),
+        F.col("latest.last_ts").alias("last_ts"),
+        F.col("latest.country").alias("country"),
     )
+
+
+def feature_columns() -> list[Column]:
+    """Feature columns over the rows of :func:`snapshot_rollup`."""
+    recency = F.date_diff(F.col("as_of_date"), F.to_date("last_ts"))
+    baskets = {w: _mean_ticks(F.col(f"ticks_{w}"), F.col(f"frequency_{w}d")) for w in LOOKBACKS}
+    return [
+        F.coalesce(recency, F.lit(NO_PURCHASE_RECENCY)).cast("bigint").alias("recency_days"),
+        *(F.col(f"frequency_{w}d") for w in WINDOWS),
+        *(from_ticks(F.col(f"ticks_{w}")).alias(f"monetary_{w}d") for w in WINDOWS),
+        *(F.coalesce(mean, F.lit(0.0)).alias(f"avg_basket_value_{w}d") for w, mean in baskets.items()),
+        F.coalesce("country", F.lit(UNKNOWN_COUNTRY)).alias("country"),
+    ]
+
+
+def user_features_asof(silver: DataFrame, snapshots: Snapshots) -> DataFrame:
+    """One row of features per user and snapshot, for users with any event up to it."""
+    return snapshot_rollup(silver, snapshot_list(snapshots)).select("user_id", "as_of_date", *feature_columns())

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import from_ticks, has_user, to_ticks
-from bazaarflow.operators.features import Snapshots, date_array, month_anchors, snapshot_list, user_features_asof
+from bazaarflow.operators.features import (
+    Snapshots,
+    dates_before,
+    explode_dates,
+    feature_columns,
+    month_anchors,
+    snapshot_list,
+    snapshot_rollup,
+)
 from bazaarflow.operators.silver import require_event_bounds
 from bazaarflow.schemas import FEATURE_COLUMNS, HORIZONS, LABEL_METRICS, LABEL_NAMES, SNAPSHOT_COUNT
 
@@ -26,11 +34,9 @@ def _outcomes_wide(silver: DataFrame, dates: Sequence[date], horizons: Sequence[
         .groupBy("user_id", "event_date")
         .agg(F.sum(to_ticks(F.col("line_revenue"))).alias("ticks"))
     )
-    ahead = F.filter(
-        date_array(dates),
-        lambda d: (F.date_diff(F.col("event_date"), d) > 0) & (F.date_diff(F.col("event_date"), d) <= longest),
-    )
-    placed = days.select("user_id", "event_date", "ticks", F.explode(ahead).alias("as_of_date"))
+    day = F.col("event_date")
+    reached = explode_dates(dates, dates_before(dates, F.date_sub(day, longest)), dates_before(dates, day))
+    placed = days.select("user_id", "event_date", "ticks", reached.alias("as_of_date"))
     wait = F.date_diff(F.col("event_date"), F.col("as_of_date"))
     return placed.groupBy("user_id", "as_of_date").agg(
         *(F.sum(F.when(wait <= h, F.col("ticks"))).alias(f"ticks_{h}") for h in horizons)
@@ -58,25 +64,35 @@ def _seen_users(silver: DataFrame, dates: Sequence[date]) -> DataFrame:
         .groupBy("user_id")
         .agg(F.min("event_date").alias("first_date"))
     )
-    return first.select(
-        "user_id", F.explode(F.filter(date_array(dates), lambda d: d >= F.col("first_date"))).alias("as_of_date")
-    )
+    since = explode_dates(dates, dates_before(dates, F.col("first_date")), F.lit(len(dates)))
+    return first.select("user_id", since.alias("as_of_date"))
+
+
+def _label_value(metric: str, ticks: Column) -> Column:
+    """A label from the purchase ticks of its horizon; NULL ticks mean no purchase."""
+    if metric == "purchase":
+        return F.when(ticks.isNotNull(), 1.0).otherwise(0.0)
+    return from_ticks(F.coalesce(ticks, F.lit(0)))
+
+
+def _label_columns(prefix: str) -> list[Column]:
+    return [
+        _label_value(metric, F.col(f"{prefix}_{h}")).alias(f"label_{metric}_{h}d")
+        for h in HORIZONS
+        for metric in LABEL_METRICS
+    ]
 
 
 def labels_long(silver: DataFrame, snapshots: Snapshots) -> DataFrame:
     """Every label of every user seen up to the snapshot: horizons x metrics, 0.0 where nothing happened."""
     dates = snapshot_list(snapshots)
     wide = _seen_users(silver, dates).join(_outcomes_wide(silver, dates, HORIZONS), ["user_id", "as_of_date"], "left")
-    value = {
-        "net_revenue": lambda h: from_ticks(F.coalesce(F.col(f"ticks_{h}"), F.lit(0))),
-        "purchase": lambda h: F.when(F.col(f"ticks_{h}").isNotNull(), 1.0).otherwise(0.0),
-    }
     cells = F.array(
         *(
             F.struct(
                 F.lit(f"{metric}_{h}d").alias("label_name"),
                 F.lit(h).alias("window_days"),
-                value[metric](h).alias("label_value"),
+                _label_value(metric, F.col(f"ticks_{h}")).alias("label_value"),
             )
             for h in HORIZONS
             for metric in LABEL_METRICS
@@ -116,20 +132,11 @@ def propensity_panel(
 ) -> DataFrame:
     """Training table for all snapshots in one job.
 
-    Same rows as joining features with the pivoted long labels, but the labels stay wide from the start.
+    Same rows as joining features with the pivoted long labels, but both come from one pass over silver, without a join.
     """
     dates = month_anchors(panel_end, months)
     if check_bounds:
         require_dates_in_bounds(silver, dates)
-    features = user_features_asof(silver, dates)
-    joined = features.join(_outcomes_wide(silver, dates, HORIZONS), ["user_id", "as_of_date"], "left")
-    labels = {
-        "net_revenue": lambda h: from_ticks(F.coalesce(F.col(f"ticks_{h}"), F.lit(0))),
-        "purchase": lambda h: F.when(F.col(f"ticks_{h}").isNotNull(), 1.0).otherwise(0.0),
-    }
-    return joined.select(
-        "user_id",
-        "as_of_date",
-        *FEATURE_COLUMNS,
-        *(labels[metric](h).alias(f"label_{metric}_{h}d") for h in HORIZONS for metric in LABEL_METRICS),
-    )
+    rollup = snapshot_rollup(silver, dates, HORIZONS)
+    labels = _label_columns("future")
+    return rollup.select("user_id", "as_of_date", *feature_columns(), *labels)

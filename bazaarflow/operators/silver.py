@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import blank_to_null, normalize_user_id, parse_number, parse_timestamp, round_half_away
@@ -35,16 +37,18 @@ def typed_lines(raw: DataFrame) -> DataFrame:
 
     Takes raw text or the output of :func:`raw_dedup`.
     """
-    stamp = F.col("InvoiceDate")
-    if raw.schema["InvoiceDate"].dataType.simpleString() == "string":
-        stamp = parse_timestamp(stamp)
+    is_text = {f.name: f.dataType.typeName() == "string" for f in raw.schema}
+
+    def parsed(name: str, parse: Callable[[Column], Column]) -> Column:
+        return parse(F.col(name)) if is_text[name] else F.col(name)
+
     return raw.select(
         F.trim("Invoice").alias("invoice_id"),
         F.trim("StockCode").alias("item_id"),
         blank_to_null(F.col("Description")).alias("item_description"),
-        parse_number(F.col("Quantity")).alias("quantity"),
-        stamp.alias("event_ts"),
-        parse_number(F.col("Price")).alias("unit_price"),
+        parsed("Quantity", parse_number).alias("quantity"),
+        parsed("InvoiceDate", parse_timestamp).alias("event_ts"),
+        parsed("Price", parse_number).alias("unit_price"),
         F.trim("Customer ID").alias("user_id"),
         F.trim("Country").alias("country"),
     )
