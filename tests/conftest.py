@@ -12,7 +12,9 @@ from bazaarflow.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[8]", **{"spark__sql__shuffle__partitions": "4"})
+    # Small inputs would be merged into one partition; keep several, so that block borders are exercised.
+    conf = {"spark__sql__shuffle__partitions": "4", "spark__sql__adaptive__coalescePartitions__enabled": "false"}
+    session = build_session("tests", master="local[8]", **conf)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
