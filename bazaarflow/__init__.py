@@ -1 +1 @@
-"""Marketplace-growth analytics as Spark DataFrame jobs."""
+"""Retail growth analytics as Spark DataFrame jobs."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -57,10 +58,11 @@ def propensity_pipeline(
     cost: float = 5.0,
     max_iter: int | None = None,
     revenue_iter: int = 200,
+    candidates: Sequence[str] = PROPENSITY_MODELS,
 ) -> PropensityRun:
     """Run the whole propensity engine.
 
-    ``fixed`` trains the given model; ``sensitivity`` first sweeps horizons, lookbacks and models and freezes the best.
+    ``fixed`` trains the given model; ``sensitivity`` first sweeps horizons, lookbacks and ``candidates`` and freezes the best.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode}")
@@ -75,7 +77,7 @@ def propensity_pipeline(
     dq.require_passed(dq.dq_report(dq.dq_train_duplicates(panel)))
     sweep = None
     if mode == "sensitivity":
-        sweep = sensitivity.window_sweep(panel, sensitivity.trained_scorers(max_iter=max_iter))
+        sweep = sensitivity.window_sweep(panel, sensitivity.trained_scorers(candidates, max_iter))
         chosen = sensitivity.freeze_decision(sweep).first()
         horizon, lookback = chosen["selected_prediction_window_days"], chosen["selected_feature_lookback_days"]
         model = chosen["selected_propensity_model_name"]

@@ -42,8 +42,7 @@ def normalized(columns: list[str], rows) -> tuple[list[str], Counter]:
     return sorted(columns), Counter(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> tuple[bool, str]:
-    frame = query(spark, sf_dir)
+def compare(con, frame, sql: str) -> tuple[bool, str]:
     spark_columns, spark_rows = normalized(frame.columns, [tuple(row) for row in frame.collect()])
     cursor = con.execute(sql)
     sql_columns = [c[0] for c in cursor.description]
@@ -78,7 +77,7 @@ def main() -> int:
         started = time.time()
         try:
             if name in statements:
-                ok, detail = compare(spark, con, name, queries[name], statements[name], args.sf_dir)
+                ok, detail = compare(con, queries[name](spark, args.sf_dir), statements[name])
             else:
                 frame = queries[name](spark, args.sf_dir)
                 ok, detail = True, f"{len(frame.collect())} rows (no sql) {frame.columns}"

@@ -1,7 +1,9 @@
-"""Every query with an exact meaning against its SQL, on the smallest given tables."""
+"""Every query with an exact meaning against its SQL, on the smallest given tables; and the shape of its plan."""
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from compare import compare, connect
 
@@ -25,5 +27,10 @@ def test_every_statement_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_matches_sql(spark, con, name):
-    ok, detail = compare(spark, con, name, QUERIES[name], STATEMENTS[name], SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "BatchEvalPython" not in plan
+    # A window straight over a single-partition exchange would put the whole table into one task.
+    assert not re.search(r"Window \[.*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
+    ok, detail = compare(con, frame, STATEMENTS[name])
     assert ok, detail
