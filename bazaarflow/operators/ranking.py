@@ -30,7 +30,8 @@ def eligible_users(truth: DataFrame, pairs: DataFrame, n_items: int) -> DataFram
 def rank_candidates(scores: DataFrame, k: int = EVALUATION_K) -> DataFrame:
     """The ``k`` best-scored candidates per user, equal scores in item order. Cut to ``k`` per task before the shuffle."""
     order = Window.partitionBy("user_idx").orderBy(F.desc("score"), F.asc("item_idx"))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def user_metrics(ranked: DataFrame, truth: DataFrame, k: int = EVALUATION_K) -> DataFrame:

@@ -83,7 +83,7 @@ def popularity_top_k(scores: DataFrame, users: DataFrame, seen: DataFrame, k: in
     placed, n_items = with_ordinal(scores.select("item_idx", "score"), [F.desc("score"), F.asc("item_idx")], "place")
     if n_items == 0:
         return users.select("user_idx").limit(0).selectExpr(
-            "user_idx", "0 AS rank", "CAST(0 AS BIGINT) AS item_idx", "CAST(0 AS DOUBLE) AS score"
+            "user_idx", "CAST(0 AS BIGINT) AS rank", "CAST(0 AS BIGINT) AS item_idx", "CAST(0 AS DOUBLE) AS score"
         )
     # One entry per distinct seen item, so a list is never longer than the item table.
     hidden = seen.join(placed.select("item_idx", "place"), "item_idx").groupBy("user_idx").agg(
@@ -97,7 +97,7 @@ def popularity_top_k(scores: DataFrame, users: DataFrame, seen: DataFrame, k: in
     head = F.slice(F.array_except(run, F.col("hidden")), 1, k)
     listed = wanted.select("user_idx", F.posexplode(head).alias("pos", "place"))
     return listed.join(placed, "place").select(
-        "user_idx", (F.col("pos") + 1).alias("rank"), "item_idx", "score"
+        "user_idx", (F.col("pos") + 1).cast("bigint").alias("rank"), "item_idx", "score"
     )
 
 
@@ -304,7 +304,7 @@ _RANKED = "user_idx bigint, item_idx bigint, score double"
 def _best_k(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("user_idx").orderBy(F.desc("score"), F.asc("item_idx"))
     ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("user_idx", "rank", "item_idx", "score")
+    return ranked.select("user_idx", F.col("rank").cast("bigint").alias("rank"), "item_idx", "score")
 
 
 def _with_copied_items(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int) -> DataFrame:

@@ -42,7 +42,15 @@ def normalized(columns: list[str], rows) -> tuple[list[str], Counter]:
     return sorted(columns), Counter(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# Types of the two engines that hold the same values.
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(con, frame, sql: str) -> tuple[bool, str]:
+    types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    differing = [f"{n}: {t} / {types.get(n)}" for n, t in frame.dtypes if SAME_TYPE.get(t) != types.get(n)]
+    if differing:
+        return False, f"types differ: {differing}"
     spark_columns, spark_rows = normalized(frame.columns, [tuple(row) for row in frame.collect()])
     cursor = con.execute(sql)
     sql_columns = [c[0] for c in cursor.description]
