@@ -413,8 +413,8 @@ def _conditional_revenue(spark: SparkSession, sf: str) -> DataFrame:
 
 def _batch_score_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     clean = cut_lineage(_silver(spark, sf))
-    rows = prep.split_10_1_1(prep.training_rows(labels.propensity_panel(clean, PANEL_END), HORIZON, LOOKBACK))
-    rows = rows.persist()
+    panel = labels.propensity_panel(clean, PANEL_END, check_bounds=False)
+    rows = prep.split_10_1_1(cut_lineage(prep.training_rows(panel, HORIZON, LOOKBACK)))
     fit = rows.filter("slice <> 'test'")
     cap = prep.spend_cap_value(rows.filter("slice = 'train'"), LOOKBACK).first()[0]
     fit = prep.apply_spend_cap(fit, LOOKBACK, cap)

@@ -28,7 +28,7 @@ def parquet_source(spark: SparkSession, path: str, required: Iterable[str] = ())
 
 
 def read_panel(spark: SparkSession, root: str, dates: Iterable[str], allow_empty: bool = False) -> DataFrame:
-    """Rows of the wanted ``as_of_date`` partitions; only their folders are listed and read."""
+    """Rows of the wanted ``as_of_date`` partitions; the filter prunes the other folders before any file is read."""
     wanted = sorted({str(date) for date in dates})
     if not wanted:
         raise ValueError("At least one snapshot date is required.")
