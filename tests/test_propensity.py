@@ -176,7 +176,9 @@ def test_calibrated_model_ranks_and_survives_saving(spark, model_rows, tmp_path,
     assert metrics.roc_auc(scored, "purchase_label", "propensity_score").first()[0] > 0.7
     model.save(str(tmp_path / name))
     again = models.CalibratedPropensity.load(spark, str(tmp_path / name)).transform(score)
-    assert again.select("user_id", "propensity_score").exceptAll(scored.select("user_id", "propensity_score")).count() == 0
+    # exp() may differ in its last bit before and after it is compiled, so the scores are compared with a tolerance.
+    before, after = ({r.user_id: r.propensity_score for r in df.collect()} for df in (scored, again))
+    assert after == pytest.approx(before, abs=1e-12)
 
 
 def test_country_not_seen_in_training_is_scored(spark, model_rows):
