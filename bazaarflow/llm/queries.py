@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import minhash, substring_dedup
+from bazaarflow.llm import minhash, quality, substring_dedup
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    # An id that is NULL counts as the empty text.
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op5_near_dedup": op5_near_dedup,
+        "op9_quality": op9_quality,
         "op8_substring_dedup": op8_substring_dedup,
     }
