@@ -40,7 +40,8 @@ class Trie:
 def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
     """Place every state's children at the first offset where all of their cells are free.
 
-    Several children are looked for from ``dense`` on: in front of it hardly a cell is free.
+    Several children are looked for from ``dense`` on, which moves up when a search was long: a few free cells in front
+    of it are given up, and the build stays linear.
     """
     keys = sorted(keys)
     size = 1024
@@ -79,8 +80,8 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
                 offset += int(np.argmax(fits))
                 break
             offset += 256
-        if len(codes) > 1 and offset > begin + 64 and free[begin:offset].mean() < 0.1:
-            dense = offset
+        if len(codes) > 1 and offset > begin + 512:
+            dense = begin + (offset - begin) // 2
         base[state] = offset
         for code, start, end in children:
             check[offset + code], free[offset + code] = state, False
