@@ -47,8 +47,8 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
     size = 1024
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     free = np.ones(size, bool)
-    free[0] = False
-    first_free = dense = 1
+    free[:257] = False  # else low cells that no byte can reach would be looked at again and again
+    first_free = dense = 257
     todo = [(0, 0, len(keys), 0)]
     while todo:
         state, low, high, depth = todo.pop()
