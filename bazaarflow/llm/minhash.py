@@ -5,9 +5,10 @@ its own permutation as a 16-bit register: the number of leading zeros (6 bits) a
 registers propose pairs; at the linking bound of 0.75 a pair is missed with probability (1 - 0.75**4)**32 = 5e-6. Every
 link that counts is confirmed on the two full sets.
 
-No group is ever turned into all of its pairs. Equal texts meet first and stand for one class. A band's members are
-compared with the band's smallest member; only bands that still hold several components afterwards are compared
-further, in blocks of bounded size, where the registers' estimate rejects most pairs before anything is emitted.
+No group is ever turned into all of its pairs. Equal texts meet first and stand for one class. A document is compared
+with the smallest document of all its bands; bands that still hold several components afterwards are compared further,
+in blocks of bounded size, where the registers' estimate rejects most pairs before anything is emitted. Pairs inside a
+component need no comparison, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -203,19 +204,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signed.filter("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("w1", "w2").agg(F.min("doc_id").alias("class_id"))
     # The class joins on a hash that a third of the rows may share; both sides are shuffled, so the join can be split.
-    classed = freeze(named.select("doc_id", "w1", "w2").join(classes, ["w1", "w2"]).select("doc_id", "class_id").distinct(), "classes")
+    classed = freeze(named.select("doc_id", "w1", "w2").join(classes, ["w1", "w2"]).select("doc_id", "class_id"), "classes")
     heads = attach(signed, freeze(classed.filter("doc_id = class_id").select("doc_id").distinct(), "heads"), "doc_id", "left_semi")
     heads = heads.dropDuplicates(["doc_id"])
     slots = heads.select("doc_id", F.explode("bands").alias("key"))
     shared = freeze(
-        slots.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows")).filter("center <> last"),
-        "bands",
+        slots.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).filter("center <> last").drop("last"), "bands"
     )
-    rays = freeze(attach(slots, shared, "key").select("key", "doc_id", "center", "rows"), "rays")
-    stars = confirmed(rays.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), docs)
-    links = freeze(stars, "links")
+    rays = freeze(attach(slots, shared, "key"), "rays")
+    # One pair per document first: with the smallest of its bands' centers.
+    stars = rays.groupBy("doc_id").agg(F.min("center").alias("center")).filter("doc_id <> center")
+    links = freeze(confirmed(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")), docs), "links")
     first = freeze(components(links), "components")
-    labelled = rays.filter("rows > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    labelled = rays.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
     labelled = freeze(labelled, "labelled")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import minhash, quality, substring_dedup, unigram
+from bazaarflow.llm import cube_mix, minhash, quality, substring_dedup, unigram
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(docs, unigram.Vocabulary.load())
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return cube_mix.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -52,6 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_mix_sources": op3_mix_sources,
         "op5_near_dedup": op5_near_dedup,
         "op9_quality": op9_quality,
         "op8_substring_dedup": op8_substring_dedup,
