@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+# Candidates at distance one agree in the first or in the second half; the distance itself is checked place by place.
+LINE_DEDUP = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS known FROM documents),
+lines AS (
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS raw, lower(trim(parts[i], ' ' || chr(9) || chr(13))) AS line
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs))
+),
+firsts AS (
+  SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS pos FROM lines WHERE length(line) >= 20 GROUP BY line
+),
+halves AS (SELECT *, left(line, n // 2) AS a, right(line, n - n // 2) AS b FROM firsts),
+shorter AS (SELECT *, left(line, (n - 1) // 2) AS a, right(line, n - 1 - (n - 1) // 2) AS b FROM firsts),
+pairs AS (
+  SELECT x.line AS p, y.line AS q, x.pos AS pp, y.pos AS qp FROM halves x JOIN halves y ON x.n = y.n AND x.a = y.a AND x.line <> y.line
+  UNION SELECT x.line, y.line, x.pos, y.pos FROM halves x JOIN halves y ON x.n = y.n AND x.b = y.b AND x.line <> y.line
+  UNION SELECT x.line, y.line, x.pos, y.pos FROM halves x JOIN shorter y ON x.n = y.n - 1 AND x.a = y.a
+  UNION SELECT x.line, y.line, x.pos, y.pos FROM halves x JOIN shorter y ON x.n = y.n - 1 AND x.b = y.b
+),
+near AS (
+  SELECT * FROM pairs WHERE CASE WHEN length(p) = length(q)
+    THEN len(list_filter(range(1, length(p) + 1), lambda i: p[i] <> q[i])) <= 1
+    ELSE len(list_filter(range(0, length(p) + 1), lambda i: left(p, i) = left(q, i) AND substr(p, i + 1) = substr(q, i + 2))) > 0 END
+),
+late AS (SELECT p AS line FROM near WHERE qp < pp UNION SELECT q FROM near WHERE pp < qp),
+judged AS (
+  SELECT l.doc_id, l.line_no, l.raw,
+    f.line IS NOT NULL AND (t.line IS NOT NULL OR {'d': l.doc_id, 'l': l.line_no} <> f.pos) AS gone
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN late t ON l.line = t.line
+)
+SELECT doc_id, CASE WHEN known = 0 THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone), '') AS removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged JOIN docs USING (doc_id) GROUP BY doc_id, known
+"""
+
 
 def all_statements() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": LINE_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, minhash, quality, substring_dedup, unigram
+from bazaarflow.llm import cube_mix, line_dedup, minhash, quality, substring_dedup, unigram
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -58,6 +69,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mix_sources": op3_mix_sources,
+        "op4_line_dedup": op4_line_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op9_quality": op9_quality,
         "op8_substring_dedup": op8_substring_dedup,
