@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, line_dedup, minhash, quality, substring_dedup, unigram
+from bazaarflow.llm import cube_mix, line_dedup, minhash, permutation_index, quality, substring_dedup, unigram
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, cut = substring_dedup.repeated_passages(docs)
@@ -71,6 +75,7 @@ def all_queries() -> dict[str, Query]:
         "op3_mix_sources": op3_mix_sources,
         "op4_line_dedup": op4_line_dedup,
         "op5_near_dedup": op5_near_dedup,
+        "op6_ann_search": op6_ann_search,
         "op9_quality": op9_quality,
         "op8_substring_dedup": op8_substring_dedup,
     }
