@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, line_dedup, minhash, permutation_index, quality, substring_dedup, unigram
+from bazaarflow.llm import cube_mix, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, unigram
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return secret_scan.digest(secret_scan.secret_spans(docs))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
@@ -78,4 +83,5 @@ def all_queries() -> dict[str, Query]:
         "op6_ann_search": op6_ann_search,
         "op9_quality": op9_quality,
         "op8_substring_dedup": op8_substring_dedup,
+        "op10_secret_scan": op10_secret_scan,
     }

@@ -68,3 +68,29 @@ def repeated_passages(rows, window: int = 50) -> dict[int, tuple[int, int, str]]
         kept = " ".join(w for w, g in zip(own, gone, strict=True) if not g)
         out[i] = (len(own), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+SECRETS = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+}
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(SECRETS.items()):
+        for match in pattern.finditer(text or ""):
+            if len(match.group(group)) >= least:
+                found.append((match.start(), rank, kind, match.end(), match.group(group)))
+    return [(kind, start, end, value) for start, _, kind, end, value in sorted(found)]
+
+
+def secrets(rows) -> dict[int, tuple[int, int, int, str]]:
+    out = {}
+    for i, text in rows:
+        spans = base_spans(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+        kinds = [k for k, *_ in spans]
+        out[i] = (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(joined.encode()).hexdigest())
+    return out
