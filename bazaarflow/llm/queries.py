@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, unigram
+from bazaarflow.llm import cube_mix, iblt, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, unigram
 from bazaarflow.llm.common import freeze, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, cut = substring_dedup.repeated_passages(docs)
@@ -82,6 +86,7 @@ def all_queries() -> dict[str, Query]:
         "op5_near_dedup": op5_near_dedup,
         "op6_ann_search": op6_ann_search,
         "op9_quality": op9_quality,
+        "op7_fingerprints": op7_fingerprints,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
