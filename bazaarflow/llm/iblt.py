@@ -1,14 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, on DataFrame functions only.
 
 A text's paragraphs are its lines, longer ones cut at the first blank after every ``PARAGRAPH`` characters. Each distinct
-paragraph digest is added to three of the sketch's 24 cells; a cell holds how many digests it has, their XOR and the XOR
-of their checks. The fingerprint is the text of these cells.
+paragraph digest is added to three of the sketch's 24 cells, one in each row; a cell holds how many digests it has, their
+XOR and the XOR of their checks. The fingerprint is the text of the cells in use.
 
 Two versions are compared by subtracting cells: common paragraphs vanish. Peeling then recovers the rest: a cell with one
-digest left gives it away, removing it from its other cells frees more. If cells remain, the sketch was too small. The
-retry deals both versions' digests into segments of a few digests each by further hash bits, every segment with its own
-sketch, and a segment that fails again is repeated with two and four times the cells; the very last resort for a segment
-(equal hash bits throughout) is the exact set difference. Work is linear in the number of paragraphs.
+digest left gives it away, removing it from its other cells frees more. A digest has one cell in each row, so one row's
+lone digests are all removed at once, row after row; every such step is one aggregate over cells. If cells remain, the
+sketch was too small and the pair is retried with a larger one: as many segments of a few digests each as the two
+versions need, then with twice and four times the cells. What is left after that (digests with equal hash bits
+throughout) is the exact set difference. Work is linear in the number of paragraphs.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ from bazaarflow.llm.common import freeze, text_key
 
 PARAGRAPH = 160
 PIECES = rf"[^\n]{{{PARAGRAPH},}}?\x20|[^\n]+"
-ROWS, WIDTH = 3, 8
-SEGMENT_DIGESTS = 6
+ROWS, WIDTH, ROUNDS = 3, 8, 4
+SEGMENT_DIGESTS = 4
 # Documents that meet in one window, and the most windows that an ordering is cut into.
 BUCKET_DOCS, MOST_BUCKETS = 256, 10_000
 FIRST = -(1 << 63)
-CELLS = "array<struct<n:int,key:bigint,check:int>>"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -43,103 +43,93 @@ def _check(digest: Column) -> Column:
     return F.hash(digest, F.lit("check"))
 
 
-def _xor_all(values: Column, kind: str) -> Column:
-    return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a.bitwiseXOR(x))
+def _added(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Cells of ``keys, digest, sign``: ``cell, n, key, check``, with the counts of recovered digests still 0."""
+    places = F.array(*(_place(F.col("digest"), row, width) for row in range(ROWS)))
+    cells = rows.select(*keys, "digest", "sign", _check(F.col("digest")).alias("check"), F.explode(places).alias("cell"))
+    sums = [F.sum("sign").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor("check").alias("check")]
+    return cells.groupBy(*keys, "cell").agg(*sums)
 
 
-def sketch(digests: Column, width: int = WIDTH) -> Column:
-    """Cells of ``digests``: one row of ``width`` cells for each of the hash functions."""
+def _peeled(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, lost, gained, failed``: digests only in the first and only in the second version, and whether cells remain.
 
-    def one_row(row: int) -> Column:
-        placed = F.transform(digests, lambda d: F.struct(_place(d, row, width).alias("at"), d.alias("key")))
-
-        def cell(at: Column) -> Column:
-            keys = F.transform(F.filter(placed, lambda p: p["at"] == at), lambda p: p["key"])
-            return F.struct(F.size(keys).alias("n"), _xor_all(keys, "bigint").alias("key"), _xor_all(F.transform(keys, _check), "int").alias("check"))
-
-        return F.transform(F.sequence(F.lit(row * width), F.lit(row * width + width - 1)), cell)
-
-    return F.concat(*map(one_row, range(ROWS)))
-
-
-def subtracted(one: Column, other: Column) -> Column:
-    return F.zip_with(
-        one,
-        other,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["check"].bitwiseXOR(b["check"]).alias("check")
-        ),
-    )
-
-
-def peeled(cells: Column, width: int = WIDTH) -> Column:
-    """``lost`` and ``gained`` digests (only in the first, only in the second version); NULL if cells remain."""
-    nothing = F.array().cast("array<bigint>")
-    start = F.struct(cells.cast(CELLS).alias("cells"), nothing.alias("lost"), nothing.alias("gained"), F.lit(False).alias("stuck"))
-
-    def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
-        found = F.struct(F.get(pure, F.lit(0)).alias("cell"), state.alias("state"))
-
-        def remove(f: Column) -> Column:
-            cell, old = f["cell"], f["state"]
-            key, sign = cell["key"], cell["n"]
-            at = F.array(*(_place(key, row, width) for row in range(ROWS)))
-            check = _check(key)
-            # Places and check are bound once, not once per cell.
-            bound = F.transform(F.array(F.struct(at.alias("at"), check.alias("check"))), lambda b: F.transform(
-                old["cells"],
-                lambda c, j: F.when(
-                    F.array_contains(b["at"], j),
-                    F.struct((c["n"] - sign).alias("n"), c["key"].bitwiseXOR(key).alias("key"), c["check"].bitwiseXOR(b["check"]).alias("check")),
-                ).otherwise(c),
-            ))
-            return F.when(
-                cell.isNull(), F.struct(old["cells"].alias("cells"), old["lost"].alias("lost"), old["gained"].alias("gained"), F.lit(True).alias("stuck"))
-            ).otherwise(
-                F.struct(
-                    F.get(bound, F.lit(0)).alias("cells"),
-                    F.when(sign == 1, F.concat(old["lost"], F.array(key))).otherwise(old["lost"]).alias("lost"),
-                    F.when(sign == -1, F.concat(old["gained"], F.array(key))).otherwise(old["gained"]).alias("gained"),
-                    F.lit(False).alias("stuck"),
-                )
-            )
-
-        return F.when(state["stuck"], state).otherwise(F.get(F.transform(F.array(found), remove), F.lit(0)))
-
-    def finish(state: Column) -> Column:
-        clean = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
-        return F.when(clean, F.struct(state["lost"].alias("lost"), state["gained"].alias("gained")))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROWS * width)), start, step, finish)
-
-
-def fingerprint(cells: Column) -> Column:
-    """Cells as text: count, XOR and check in fixed-width hexadecimal."""
-    return F.array_join(
-        F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["check"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""
+    Recovered digests are counted in cell -1.
+    """
+    zero, nil = F.lit(0).cast("bigint"), F.lit(0)
+    cells = cells.filter("n <> 0 or key <> 0 or check <> 0").withColumns({"lost": zero, "gained": zero})
+
+    def entry(cell: Column, n: Column, key: Column, check: Column, lost: Column, gained: Column) -> Column:
+        return F.struct(cell.alias("cell"), n.alias("n"), key.alias("key"), check.alias("check"), lost.alias("lost"), gained.alias("gained"))
+
+    own = [F.col(c) for c in ("cell", "n", "key", "check", "lost", "gained")]
+    for step in range(ROUNDS * ROWS):
+        row = step % ROWS
+        alone = (F.col("cell") >= row * width) & (F.col("cell") < (row + 1) * width) & (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
+        gone = [entry(_place(F.col("key"), other, width), -F.col("n"), F.col("key"), F.col("check"), zero, zero) for other in range(ROWS) if other != row]
+        count = entry(F.lit(-1), zero, zero, nil, (F.col("n") == 1).cast("bigint"), (F.col("n") == -1).cast("bigint"))
+        moved = cells.select(*keys, F.inline(F.when(alone, F.array(*gone, count)).otherwise(F.array(entry(*own)))))
+        sums = [F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"), F.sum("lost").alias("lost"), F.sum("gained").alias("gained")]
+        cells = moved.groupBy(*keys, "cell").agg(*sums).filter("cell = -1 or n <> 0 or key <> 0 or check <> 0")
+    return cells.groupBy(*keys).agg(F.sum("lost").alias("lost"), F.sum("gained").alias("gained"), F.max(F.col("cell") >= 0).alias("failed"))
+
+
+PAIR = ["_bucket", "_no", "pair"]
+SIDES = {"edited": "edited_digests", "next": "next_digests"}
+
+
+def _signed(pairs: DataFrame) -> DataFrame:
+    """``PAIR, digest, sign`` of both versions' digests (``one``, ``other``)."""
+
+    def side(name: str, sign: int) -> Column:
+        return F.transform(name, lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
+
+    rest = [c for c in pairs.columns if c not in ("one", "other")]
+    return pairs.select(*rest, F.inline(F.concat(side("one", 1), side("other", -1))))
+
+
+def compared(versions: DataFrame) -> DataFrame:
+    """``_bucket, _no, pair, lost, gained`` for the pairs of every row of ``versions`` that differ at all."""
+    both = F.array(*(F.struct(F.lit(name).alias("pair"), F.col("digests").alias("one"), F.col(digests).alias("other")) for name, digests in SIDES.items()))
+    # All groups below lie inside one row of versions: one exchange of the rows serves every aggregate.
+    pairs = versions.repartition("_bucket", "_no").select("_bucket", "_no", F.inline(both))
+    found = freeze(_peeled(_added(_signed(pairs), PAIR, WIDTH), PAIR, WIDTH), "peeled")
+    done = [found.filter("not failed")]
+    failed = found.filter("failed").select(*PAIR)
+    for attempt in range(3):
+        width = WIDTH << attempt
+        again = pairs.join(failed, PAIR, "left_semi")
+        segments = F.ceil((F.size("one") + F.size("other")) / SEGMENT_DIGESTS).cast("bigint")
+        signed = _signed(again.withColumn("segments", segments))
+        dealt = signed.withColumn("segment", F.pmod(F.xxhash64("digest", F.lit("segment")), F.col("segments")))
+        keys = [*PAIR, "segment"]
+        parts = _peeled(_added(dealt, keys, width), keys, width)
+        whole = parts.groupBy(*PAIR).agg(F.sum("lost").alias("lost"), F.sum("gained").alias("gained"), F.max("failed").alias("failed"))
+        found = freeze(whole, "peeled")
+        done.append(found.filter("not failed"))
+        failed = found.filter("failed").select(*PAIR)
+        if failed.isEmpty():
+            break
+    else:
+        rest = pairs.join(failed, PAIR, "left_semi")
+        sizes = [F.size(F.array_except(a, b)).cast("bigint").alias(name) for a, b, name in (("one", "other", "lost"), ("other", "one", "gained"))]
+        done.append(rest.select(*PAIR, *sizes))
+    out = done[0].select(*PAIR, "lost", "gained")
+    for part in done[1:]:
+        out = out.unionByName(part.select(*PAIR, "lost", "gained"))
+    return out
+
+
+def sketches(versions: DataFrame) -> DataFrame:
+    """``_bucket, _no, fingerprint, edited_fingerprint``: the cells in use, in order, in hexadecimal."""
+    both = F.array(*(F.struct(F.lit(v).alias("version"), F.col(c).alias("all")) for v, c in (("text", "digests"), ("edited", "edited_digests"))))
+    keys = ["_bucket", "_no", "version"]
+    one = versions.repartition("_bucket", "_no").select("_bucket", "_no", F.inline(both)).select(*keys, F.explode("all").alias("digest"), F.lit(1).alias("sign"))
+    cell = F.format_string("%02x:%x:%016x:%08x", "cell", "n", "key", "check")
+    written = _added(one, keys, WIDTH).groupBy("_bucket", "_no").agg(
+        *(F.array_join(F.array_sort(F.collect_list(F.when(F.col("version") == v, cell))), " ").alias(name) for v, name in (("text", "fingerprint"), ("edited", "edited_fingerprint")))
     )
-
-
-def compared(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """``key, lost, gained``: sizes of both differences, for ``pairs`` with unique ``key`` columns and digest arrays
-    ``one``, ``other`` with their ``cells_one``, ``cells_other``."""
-    first = freeze(pairs.select(*key, "one", "other", peeled(subtracted(F.col("cells_one"), F.col("cells_other"))).alias("found")), "peeled")
-    done = first.filter("found is not null").select(*key, F.size("found.lost").alias("lost"), F.size("found.gained").alias("gained"))
-    again = first.filter("found is null")
-    segments = F.ceil((F.size("one") + F.size("other")) / (2 * SEGMENT_DIGESTS)).cast("bigint")
-    side = lambda name, number: F.transform(name, lambda d: F.struct(F.lit(number).alias("side"), d.alias("digest")))
-    dealt = again.select(*key, segments.alias("segments"), F.explode(F.concat(side("one", 0), side("other", 1))).alias("d"))
-    dealt = dealt.withColumn("segment", F.pmod(F.xxhash64("d.digest", F.lit("segment")), F.col("segments")))
-    # A segment holds a few digests by the hash, whatever the length of the texts.
-    groups = dealt.groupBy(*key, "segment").agg(F.collect_list("d").alias("d"))
-    of = lambda number: F.transform(F.filter("d", lambda d: d["side"] == number), lambda d: d["digest"])
-    groups = groups.select(*key, of(0).alias("one"), of(1).alias("other"))
-    tries = [peeled(subtracted(sketch(F.col("one"), w), sketch(F.col("other"), w)), w) for w in (WIDTH, 2 * WIDTH, 4 * WIDTH)]
-    exact = F.struct(F.array_except("one", "other").alias("lost"), F.array_except("other", "one").alias("gained"))
-    solved = groups.select(*key, F.coalesce(*tries, exact).alias("found"))
-    later = solved.groupBy(*key).agg(F.sum(F.size("found.lost")).cast("int").alias("lost"), F.sum(F.size("found.gained")).cast("int").alias("gained"))
-    return done.unionByName(later)
+    return written
 
 
 def likeness(size: Column, lost: Column, gained: Column) -> Column:
@@ -160,7 +150,7 @@ def _bucket(doc: Column, splits: list[int]) -> Column:
 
 def with_next(docs: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``docs`` (with ``_doc`` and a tie breaker ``_t1, _t2``) and ``next_<column>`` of the following row, ``_doc``
-    descending; after the last comes the first.
+    descending; after the last comes the first. ``_bucket, _no`` name a row.
 
     The order is cut into buckets by approximate quantiles of ``_doc``; the greatest row of each bucket is sent to the
     bucket above as well, so the neighbour across a border is at hand and no window spans more than a bucket.
@@ -182,7 +172,8 @@ def with_next(docs: DataFrame, columns: Iterable[str]) -> DataFrame:
     stays = F.concat(home, F.coalesce("_visits", F.array().cast("array<struct<_bucket:int,_wrap:boolean,_guest:boolean>>")))
     spread = placed.join(F.broadcast(visits), "_doc", "left").withColumn("_stay", F.explode(stays)).select(*docs.columns, "_stay.*")
     order = Window.partitionBy("_bucket").orderBy("_wrap", F.desc("_doc"), "_t1", "_t2")
-    return spread.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("not _guest").drop("_bucket", "_wrap", "_guest")
+    following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
+    return spread.select("*", F.row_number().over(order).alias("_no"), *following).filter("not _guest").drop("_wrap", "_guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -197,40 +188,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(rows.withColumn("digests", paragraph_digests(F.col("text"))), ["text", "digests"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", "_doc", "_t1", "_t2", F.length("text").cast("bigint").alias("n_chars"), "digests", "next_digests", edited.alias("edited"))
+    rows = rows.select("_bucket", "_no", "doc_id", F.length("text").cast("bigint").alias("n_chars"), "digests", "next_digests", edited.alias("edited"))
     rows = rows.select(
-        "doc_id", "_doc", "_t1", "_t2", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", paragraph_digests(F.col("edited")).alias("edited_digests")
+        "_bucket", "_no", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", paragraph_digests(F.col("edited")).alias("edited_digests")
     )
     rows = freeze(rows, "versions")
-    sketched = rows.select(
-        "*", sketch(F.col("digests")).alias("cells"), sketch(F.col("edited_digests")).alias("edited_cells"), sketch(F.col("next_digests")).alias("next_cells")
-    )
-    sketched = freeze(sketched, "sketches")
-    key = ["_doc", "_t1", "_t2", "pair"]
-    sides = [("edited", "edited_digests", "edited_cells"), ("next", "next_digests", "next_cells")]
-    pairs = sketched.select(
-        "_doc",
-        "_t1",
-        "_t2",
-        F.explode(
-            F.array(*(F.struct(F.lit(p).alias("pair"), F.col("digests").alias("one"), F.col(d).alias("other"), F.col("cells").alias("cells_one"), F.col(c).alias("cells_other")) for p, d, c in sides))
-        ).alias("p"),
-    ).select("_doc", "_t1", "_t2", "p.*")
-    # Rows that repeat document and text differ at most in their successor; the smallest difference stands for them.
-    pairs = pairs.withColumn("pair", F.concat_ws(":", "pair", F.xxhash64("other").cast("string"))).dropDuplicates(key)
-    found = compared(pairs, key)
-    found = freeze(found, "differences")
-    out = sketched
-    for name, digests, _ in sides:
-        mine = found.select("_doc", "_t1", "_t2", F.col("pair").alias(f"_pair_{name}"), F.col("lost").alias(f"lost_{name}"), F.col("gained").alias(f"gained_{name}"))
-        out = out.withColumn(f"_pair_{name}", F.concat_ws(":", F.lit(name), F.xxhash64(digests).cast("string"))).join(mine, ["_doc", "_t1", "_t2", f"_pair_{name}"])
-    size = F.size("digests")
-    return out.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fingerprint(F.col("cells")).alias("fingerprint"),
-        fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(size, F.col("lost_edited"), F.col("gained_edited")).alias("near_edited"),
-        likeness(size, F.col("lost_next"), F.col("gained_next")).alias("near_next"),
+    found = compared(rows).groupBy("_bucket", "_no").agg(
+        *(F.sum(F.when(F.col("pair") == pair, F.col(c))).alias(f"{c}_{pair}") for pair in SIDES for c in ("lost", "gained"))
     )
+    out = rows.join(freeze(sketches(rows), "sketches"), ["_bucket", "_no"], "left").join(freeze(found, "differences"), ["_bucket", "_no"], "left")
+    near = [likeness(F.size("digests"), *(F.coalesce(f"{c}_{pair}", F.lit(0)) for c in ("lost", "gained"))).alias(f"near_{pair}") for pair in SIDES]
+    prints = [F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return out.select("doc_id", "n_chars", "edited_sha256", *prints, *near)
