@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.scale import with_ordinal, with_running_totals
@@ -161,6 +161,10 @@ def balanced_draw(rows: DataFrame) -> DataFrame:
     return out.select("row_key", F.col("chance").cast("int").alias("extra"))
 
 
+def row_identity() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs`` (doc_id, text, source).
 
@@ -172,7 +176,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", "source", "text").alias("equal_key"),
+        row_identity().alias("equal_key"),
     )
     same = Window.partitionBy("equal_key").orderBy("doc_id")
     rows = freeze(rows, "sizes")

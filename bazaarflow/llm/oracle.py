@@ -37,6 +37,23 @@ SELECT doc_id, CASE WHEN known = 0 THEN 0 ELSE count(*) END AS n_lines, count(*)
 FROM judged JOIN docs USING (doc_id) GROUP BY doc_id, known
 """
 
+# Texts that repeat keep their first copy, whose words are recounted with the punctuation.
+TOKEN_COUNTS = """
+WITH counted AS (
+  SELECT doc_id, source, lang,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\x20\\x09-\\x0D]')) AS pieces,
+    min(doc_id) OVER same AS head, count(*) OVER same AS copies
+  FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+),
+kept AS (SELECT *, CASE WHEN copies > 1 THEN pieces ELSE words END AS recounted FROM counted WHERE doc_id = head),
+long AS (
+  SELECT source, lang, 'words-1' AS version, recounted AS tokens FROM kept
+  UNION ALL SELECT source, lang, 'pieces-1', pieces FROM kept
+)
+SELECT source, lang, version, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM long GROUP BY ALL
+"""
+
 
 def all_statements() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP}

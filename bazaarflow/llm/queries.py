@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, iblt, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, unigram
-from bazaarflow.llm.common import freeze, read_table
+from bazaarflow.llm import cube_mix, iblt, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, token_rollup, unigram
+from bazaarflow.llm.common import freeze, read_table, text_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches over all documents: inserts under two tokenizer versions; revised counts, the words of repeated texts'
+    first copies counted with the punctuation; deletes of the repeated copies, sent twice."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.TokenRollup(spark, token_rollup.shared_root(spark, f"rollup-{uuid4()}"))
+    words, pieces = token_rollup.TOKENIZERS
+    for version in (words, pieces):
+        rollup.commit(f"insert-{version}", token_rollup.counted(docs, version))
+    keyed = docs.select("doc_id", *text_key(F.col("text")))
+    groups = keyed.groupBy("_t1", "_t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
+    copies = freeze(keyed.join(groups, ["_t1", "_t2"]).select("doc_id", "first"), "copies")
+    known = rollup.ledger()
+    other = known.filter(F.col("version") == pieces).select("doc_id", F.col("tokens").alias("recounted"))
+    heads = copies.filter("doc_id = first").select("doc_id")
+    revised = known.filter(F.col("version") == words).join(heads, "doc_id").join(other, "doc_id")
+    rollup.commit("revise", revised.select("doc_id", "version", "source", "lang", F.col("recounted").alias("tokens"), F.lit("revise").alias("action")))
+    gone = known.join(copies.filter("doc_id <> first").select("doc_id"), "doc_id").select("doc_id", "version", "source", "lang", "tokens", F.lit("delete").alias("action"))
+    for _ in range(2):
+        rollup.commit("delete", gone)
+    return rollup.totals()
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.encoded(docs, unigram.Vocabulary.load())
@@ -80,6 +104,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mix_sources": op3_mix_sources,
         "op4_line_dedup": op4_line_dedup,
