@@ -168,11 +168,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     The text is the only input. A column of that name is replaced; other columns pass through.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # one number per feature, a fixed size
+    shared = spark.sparkContext.broadcast((model.weights, model.intercept))  # one number per feature, a fixed size
     docs = docs.drop("quality_score").withColumn("text", F.col("text").cast("string"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.append_column("quality_score", pa.array(shared.value.scores(batch.column("text"))))
+        return batch.append_column("quality_score", pa.array(QualityModel(*shared.value).scores(batch.column("text"))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
     return map_text(docs, run, schema)

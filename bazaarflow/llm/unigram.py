@@ -99,6 +99,15 @@ class Vocabulary:
     trie: Trie
     inner_markers: bool
 
+    def plain(self) -> tuple:
+        """Arrays only, for tasks; ``from_plain`` is the way back."""
+        return self.pieces, self.scores, self.byte_ids, (self.trie.base, self.trie.check, self.trie.value), self.inner_markers
+
+    @classmethod
+    def from_plain(cls, plain: tuple) -> Vocabulary:
+        pieces, scores, byte_ids, trie, inner = plain
+        return cls(pieces, scores, byte_ids, Trie(*trie), inner)
+
     @classmethod
     def of(cls, pieces: list[tuple[str, float, str]]) -> Vocabulary:
         """From (piece, log score, kind) in id order; kind is ``normal``, ``byte`` (written <0xNN>) or ``control``."""
@@ -238,10 +247,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     NULL and empty texts have no pieces and round-trip to the empty text; so does a NULL doc_id's row keep its NULL.
     Repeated rows are encoded each. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary, a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.plain())  # one vocabulary, a fixed size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = shared.value, batch.column("text")
+        own, texts = Vocabulary.from_plain(shared.value), batch.column("text")
         ids = own.encode(texts)
         is_byte = np.zeros(len(own.pieces) + 1, bool)
         is_byte[own.byte_ids] = True
@@ -260,11 +269,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``rows`` (doc_id, piece_ids) back to ``doc_id, text``; bytes that are no UTF-8 become the replacement character."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary.plain())
 
     def run(batches):
         for batch in batches:
-            texts = [b.as_py().decode("utf-8", "replace") for b in shared.value.decode(batch.column("piece_ids"))]
+            texts = [b.as_py().decode("utf-8", "replace") for b in Vocabulary.from_plain(shared.value).decode(batch.column("piece_ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
