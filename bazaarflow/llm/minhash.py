@@ -7,8 +7,8 @@ link that counts is confirmed on the two full sets.
 
 No group is ever turned into all of its pairs. Equal texts meet first and stand for one class. A document is compared
 with the smallest document of all its bands; bands that still hold several components afterwards are compared further,
-in blocks of bounded size, where the registers' estimate rejects most pairs before anything is emitted. Pairs inside a
-component need no comparison, so no link between components is lost.
+in blocks of bounded size, where the registers' estimate rejects most pairs, full sets decide the others, and only links
+that join components are emitted. Pairs inside a component need no comparison, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -135,21 +135,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         one, other = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text"))
-        keep = []
-        for x, y in zip(one, other, strict=True):
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= 75 * (len(x) + len(y) - shared))
+        keep = [linked(x, y) for x, y in zip(one, other, strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
     return map_text(with_both.select("a", "b", "text_a", "text"), verify, "a bigint, b bigint")
 
 
-def open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one band that lie in different components and pass the estimate; ``a < b``.
+def linked(one: np.ndarray, other: np.ndarray) -> bool:
+    """The link itself, on two full sets."""
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * shared >= 75 * (len(one) + len(other) - shared)
 
-    ``members``: key, doc_id, component, n_shingles, registers. Bands are cut into blocks of about ``BLOCK`` members by
-    hash, and each pair of blocks is one group, so that neither a task nor a row ever holds a whole band. A pair is
-    emitted only under the first band that it shares and only if its estimate is near the bound.
+
+def with_sets(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` with the full shingle set of each document, as bytes."""
+    ids = freeze(members.select("doc_id").distinct(), "open-ids")
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    texts = attach(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return members.join(map_text(texts, describe, "doc_id bigint, shingles binary"), "doc_id")
+
+
+def open_links(members: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` that join the components which still meet in a band.
+
+    ``members``: key, doc_id, component, n_shingles, registers, shingles. Bands are cut into blocks of about ``BLOCK``
+    members by hash, and each pair of blocks is one group, so that neither a task nor a row ever holds a whole band. A
+    pair is looked at under the first band that it shares; if its estimate is near the bound, its full sets decide, unless
+    links found before in the group have joined its components already. So a group returns fewer links than members.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -163,28 +179,32 @@ def open_pairs(members: DataFrame) -> DataFrame:
         "component",
         "n_shingles",
         "registers",
+        "shingles",
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        group = group.sort_by("doc_id")
+        ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy().copy()
         n, block = group["n_shingles"].to_numpy().astype(float), group["block"].to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), U64) for s in group["shingles"]]
         regs = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
         keys = band_keys(regs)
         own = U64(group["key"][0].as_py() % (1 << 64))
         band = int(np.flatnonzero(keys[0] == own)[0])
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        bound = 0.75 - SLACK * np.sqrt(0.75 * 0.25 / BUCKETS)
         found = []
         for i in np.flatnonzero(block == low):
             rest = np.flatnonzero((comp != comp[i]) & (block == high) & ((ids > ids[i]) | (low != high)))
             if not len(rest):
                 continue
-            earlier = (keys[rest, :band] == keys[i, :band]).any(axis=1)
-            rest = rest[~earlier]
-            share = (regs[rest] == regs[i]).mean(axis=1)
-            bound = 0.75 - SLACK * np.sqrt(0.75 * 0.25 / BUCKETS)
-            fits = np.minimum(n[rest], n[i]) >= 0.75 * np.maximum(n[rest], n[i])
-            for j in rest[fits & (estimate(share, n[i], n[rest]) >= bound)]:
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
+            guess = estimate((regs[rest] == regs[i]).mean(axis=1), n[i], n[rest])
+            fits = (np.minimum(n[rest], n[i]) >= 0.75 * np.maximum(n[rest], n[i])) & (guess >= bound)
+            for j in rest[fits][np.argsort(-guess[fits], kind="stable")]:
+                if comp[i] != comp[j] and linked(sets[i], sets[j]):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -223,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     members = attach(labelled, freeze(mixed.select("key"), "mixed"), "key", "left_semi")
     members = members.join(heads.select("doc_id", "n_shingles", "registers"), "doc_id")
-    more = freeze(confirmed(open_pairs(members).distinct(), docs), "links")
+    more = freeze(open_links(with_sets(members, docs)).distinct(), "links")
     joined = first if more.isEmpty() else freeze(components(links.union(more)), "components")
     component = F.coalesce("component", "class_id")
     places = (
