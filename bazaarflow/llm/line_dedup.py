@@ -1,17 +1,17 @@
 """Line dedup by a deletion-neighbourhood join, on DataFrame functions only.
 
-Lines are compared in lower case without blanks at their ends. A line goes if an earlier line (by doc_id, then line
+Lines are compared without blanks at their ends. A line goes if an earlier line (by doc_id, then line
 number) is within one edit: equal, one character replaced, or one character more or less. Lines under ``MIN_CHARS``
 characters take no part: short lines are equal by chance.
 
 Two lines are within one edit if they are equal after removing one character at the same place of both, or one
 character of the longer one. Emitting every such variant of every line would take as many rows as the corpus has
-characters, so it is done in two steps. First whole blocks are removed: a line is cut into blocks of up to ``BLOCK``
-characters, and what is left without one block is hashed with the block's number and the line's length; a line also
-emits the keys it would have if it were one character shorter. Lines within one edit share a key, since the edit lies in
-one block. Only under keys that different lines share are the variants of the removed block itself emitted, one per
-removed character. Lines with equal variants are joined through the group's earliest line, and the pair's edit distance
-is verified on the block texts.
+characters, so it is done in steps. Lines whose both ends are their own have no neighbour. Of the others whole blocks are
+removed: a line is cut into blocks of up to ``BLOCK`` characters, and what is left without one block is hashed with the
+block's number and the line's length; a line also emits the keys it would have if it were one character shorter. Lines
+within one edit share a key, since the edit lies in one block. Only under keys that different lines share are the
+variants of the removed block itself emitted, one per removed character. Lines with equal variants are joined through the
+group's earliest line, and the pair's edit distance is verified on the block texts.
 """
 
 from __future__ import annotations
@@ -21,62 +21,82 @@ from pyspark.sql import functions as F
 
 from bazaarflow.llm.common import attach, freeze, text_key
 
-MIN_CHARS, BLOCK, MOST_BLOCKS = 20, 256, 64
+MIN_CHARS, BLOCK, MOST_BLOCKS, ENDS = 20, 64, 256, 32
 LAST = (1 << 63) - 1
 
 
 def normalized(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``pos`` (doc_id, text key, line number), the line and its 128-bit hash, for lines that are long enough."""
+    """Long enough lines: document and text key, number, ``pos`` (order of doc_id, then number), 128-bit hash."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), *text_key(F.col("text")), "text")
     lines = keyed.select("_doc", "_t1", "_t2", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("_doc", "_t1", "_t2", "line_no", normalized(F.col("raw")).alias("line")).filter(F.length("line") >= MIN_CHARS)
+    lines = lines.select("_doc", "_t1", "_t2", "line_no", normalized(F.col("raw")).alias("line"))
+    # One number instead of a struct: its minimum is kept in a hash aggregate.
+    pos = F.col("_doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     return lines.select(
-        F.struct("_doc", "_t1", "_t2", "line_no").alias("pos"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
-    )
+        "_doc", "_t1", "_t2", "line_no", pos.cast("decimal(32,0)").alias("pos"), "line", F.length("line").alias("chars"),
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"),
+    ).filter(F.col("chars") >= MIN_CHARS)
 
 
 def _blocks(length: Column) -> Column:
     return F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(2), F.ceil(length / BLOCK))).cast("int")
 
 
-def _views(line: Column, longer: bool) -> Column:
-    """Keys of the line without each block, with the block: as it is, or as if it had one character less."""
-    length = (F.length(line) - (1 if longer else 0)).cast("int")
-    count = _blocks(length)
-
-    def view(number: Column) -> Column:
-        start = F.floor(number * length / count).cast("int")
-        end = F.floor((number + 1) * length / count).cast("int") + (1 if longer else 0)
-        rest = F.xxhash64(length, number, F.substring(line, F.lit(1), start), F.substring(line, end + 1, F.length(line)))
-        return F.struct(rest.alias("key"), F.lit(longer).alias("longer"), start.alias("start"), (end - start).alias("size"))
-
-    return F.transform(F.sequence(F.lit(0), count - 1), view)
+def _keyed(lines: DataFrame) -> DataFrame:
+    """Keys of each line without each block: of the line as it is, then as if it had one character less (``longer``)."""
+    counted = lines.select("pos", "h1", "h2", "line", "chars", _blocks(F.col("chars")).alias("own"), _blocks(F.col("chars") - 1).alias("less"))
+    views = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("own") + F.col("less") - 1)).alias("view"))
+    longer = F.col("view") >= F.col("own")
+    views = views.select(
+        "pos", "h1", "h2", "line", "chars", longer.alias("longer"),
+        F.when(longer, F.col("view") - F.col("own")).otherwise(F.col("view")).alias("number"),
+        F.when(longer, F.col("less")).otherwise(F.col("own")).alias("blocks"),
+        (F.col("chars") - longer.cast("int")).alias("length"),
+    )
+    start = F.floor(F.col("number") * F.col("length") / F.col("blocks")).cast("int")
+    end = F.floor((F.col("number") + 1) * F.col("length") / F.col("blocks")).cast("int") + F.col("longer").cast("int")
+    placed = views.select("pos", "h1", "h2", "line", "chars", "longer", "number", "length", start.alias("start"), end.alias("end"))
+    rest = F.xxhash64("length", "number", F.substring("line", F.lit(1), F.col("start")), F.substring("line", F.col("end") + 1, F.col("chars")))
+    return placed.select("pos", "h1", "h2", "line", rest.alias("key"), "longer", "start", (F.col("end") - F.col("start")).alias("size"))
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    views = F.concat(_views(F.col("line"), False), _views(F.col("line"), True))
-    return lines.select("pos", "h1", "h2", "line", F.inline(views))
+def _variants(members: DataFrame) -> DataFrame:
+    """``key, kind, place, variant``: kind 0 has the character at ``place`` removed on both sides, kind 1 on one side.
 
+    A line as it is emits its block without each character, and the whole block to meet those that are longer; a longer
+    one its block without each character.
+    """
+    first = F.when(F.col("longer"), 0).otherwise(-1)
+    last = F.length("block") - 1
+    spread = members.select("key", "longer", "h1", "h2", "pos", "block", F.explode(F.when(last >= first, F.sequence(first, last))).alias("at"))
+    without = F.concat(F.substring("block", F.lit(1), F.col("at")), F.substring("block", F.col("at") + 2, F.length("block")))
+    text = F.when(F.col("at") < 0, F.col("block")).otherwise(without)
+    one_sided = F.col("longer") | (F.col("at") < 0)
+    return spread.select(
+        "key", "longer", "h1", "h2", "pos", one_sided.cast("int").alias("kind"), F.when(one_sided, -1).otherwise(F.col("at")).alias("place"), F.xxhash64(text).alias("variant")
+    )
 
-def _without(block: Column, number: Column) -> Column:
-    return F.concat(F.substring(block, F.lit(1), number), F.substring(block, number + 2, F.length(block)))
 
+def _probes(lines: DataFrame) -> DataFrame:
+    """Keys by which a line meets equal lines (``near`` false) and lines that may be within one edit (``near`` true).
 
-def _variants(members: DataFrame) -> DataFrame:
-    """``key, kind, place, variant``: kind 0 has the character at ``place`` removed on both sides, kind 1 on one side."""
-    block, places = F.col("block"), F.sequence(F.lit(0), F.length("block") - 1)
+    The edit is in one half of the line, so ``ENDS`` characters of the other end, or half of a shorter line, are equal.
+    A short line also probes as if it had one character less.
+    """
+    half = lambda length: F.least(F.lit(ENDS), F.floor(length / 2).cast("int"))
+    own, less = half(F.col("chars")), half(F.col("chars") - 1)
 
-    def variant(kind: int, place: Column, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), F.xxhash64(text).alias("variant"))
+    def ends(size: Column) -> list[Column]:
+        parts = (F.substring("line", F.lit(1), size), F.substring("line", F.col("chars") - size + 1, size))
+        return [F.struct(F.lit(True).alias("near"), F.xxhash64(F.lit(i), part).alias("k1"), F.lit(0).cast("bigint").alias("k2")) for i, part in enumerate(parts)]
 
-    removed = F.when(F.length(block) > 0, F.transform(places, lambda i: variant(0, i, _without(block, i))))
-    own = F.concat(F.coalesce(removed, F.array().cast("array<struct<kind:int,place:int,variant:bigint>>")), F.array(variant(1, F.lit(-1), block)))
-    shorter = F.transform(places, lambda i: variant(1, F.lit(-1), _without(block, i)))
-    return members.select("key", "longer", "h1", "h2", "pos", F.inline(F.when(F.col("longer"), shorter).otherwise(own)))
+    equal = F.struct(F.lit(False).alias("near"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    short = F.array(equal, *ends(own), *ends(less))
+    return lines.select("pos", "h1", "h2", "line", "chars", "_doc", "_t1", "_t2", "line_no", F.inline(F.when(own == less, F.array(equal, *ends(own))).otherwise(short)))
 
 
 def _later_near_lines(lines: DataFrame) -> DataFrame:
@@ -86,33 +106,37 @@ def _later_near_lines(lines: DataFrame) -> DataFrame:
     block = F.substring("line", F.col("start") + 1, F.col("size"))
     found = attach(keyed, freeze(shared, "line-keys"), "key").select("key", "longer", "h1", "h2", "pos", block.alias("block"))
     members = freeze(found.groupBy("key", "longer", "h1", "h2").agg(F.min("pos").alias("pos"), F.min("block").alias("block")), "line-members")
-    variants = freeze(_variants(members), "line-variants")
-    who = F.struct("pos", "h1", "h2", "longer")
     # A line removed on one side meets only lines that are whole, and the other way round.
-    side = (F.col("kind") == 1) & F.col("longer")
-    first = variants.withColumn("side", side).groupBy("key", "kind", "place", "variant", "side").agg(F.min(who).alias("first"))
-    other = first.select("key", "kind", "place", "variant", F.when(F.col("kind") == 1, ~F.col("side")).otherwise(F.col("side")).alias("side"), "first")
-    met = variants.withColumn("side", side).join(other, ["key", "kind", "place", "variant", "side"]).filter("first.pos < pos")
-    pairs = met.groupBy("key", "longer", "h1", "h2").agg(F.min("first").alias("first"))
-    pairs = freeze(
-        pairs.select("key", "longer", "h1", "h2", F.col("first.longer").alias("its_longer"), F.col("first.h1").alias("its_h1"), F.col("first.h2").alias("its_h2")),
-        "line-pairs",
-    )
-    mine = members.select("key", "longer", "h1", "h2", "block")
-    its = members.select("key", F.col("longer").alias("its_longer"), F.col("h1").alias("its_h1"), F.col("h2").alias("its_h2"), F.col("block").alias("its_block"))
-    both = pairs.join(mine, ["key", "longer", "h1", "h2"]).join(its, ["key", "its_longer", "its_h1", "its_h2"])
+    variants = freeze(_variants(members).withColumn("side", (F.col("kind") == 1) & F.col("longer")), "line-variants")
+    met = ["key", "kind", "place", "variant"]
+    first = variants.groupBy(*met, "side").agg(F.min("pos").alias("its_pos"))
+    other = first.withColumn("side", F.when(F.col("kind") == 1, ~F.col("side")).otherwise(F.col("side")))
+    pairs = variants.join(other, [*met, "side"]).filter("its_pos < pos").groupBy("key", "h1", "h2").agg(F.min("its_pos").alias("its_pos"))
+    mine = members.select("key", "h1", "h2", "block").dropDuplicates(["key", "h1", "h2"])
+    its = members.select("key", F.col("pos").alias("its_pos"), F.col("block").alias("its_block")).dropDuplicates(["key", "its_pos"])
+    both = freeze(pairs, "line-pairs").join(mine, ["key", "h1", "h2"]).join(its, ["key", "its_pos"])
     return both.filter(F.levenshtein("block", "its_block", 1) >= 0).select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """``_doc, _t1, _t2, removed``: the numbers (from 0) of the lines that go, for documents that lose any."""
-    lines = _lines(docs)
-    counted = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"))
-    repeated = freeze(counted.filter("rows > 1").select("h1", "h2", "first"), "line-copies")
-    near = freeze(_later_near_lines(lines), "line-near").withColumn("near", F.lit(True))
-    verdicts = freeze(repeated.join(near, ["h1", "h2"], "full_outer"), "line-verdicts")
-    gone = attach(lines.select("pos", "h1", "h2"), verdicts, ["h1", "h2"]).filter(F.col("near") | (F.col("pos") > F.col("first")))
-    return gone.groupBy("pos._doc", "pos._t1", "pos._t2").agg(F.array_sort(F.collect_set("pos.line_no")).alias("removed"))
+    """``_doc, _t1, _t2, removed``: the numbers (from 0) of the lines that go, for documents that lose any.
+
+    The documents are read twice: to count the keys, and to fetch the lines whose keys are shared. All else works on these.
+    """
+    probes = _probes(_lines(docs))
+    counted = probes.groupBy("near", "k1", "k2").agg(
+        F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("h1").alias("low"), F.max("h1").alias("high")
+    )
+    met = freeze(counted.filter((F.col("near") & (F.col("low") != F.col("high"))) | (~F.col("near") & (F.col("rows") > 1))).select("near", "k1", "k2", "first"), "line-probes")
+    # The line itself is needed only where it may have a neighbour.
+    fetched = attach(probes, met, ["near", "k1", "k2"]).withColumn("line", F.when(F.col("near"), F.col("line")))
+    fetched = freeze(fetched.select("_doc", "_t1", "_t2", "line_no", "pos", "h1", "h2", "near", "first", "line", "chars"), "lines")
+    # A line stands here once for each of its keys.
+    candidates = fetched.filter("near").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.min("line").alias("line"), F.min("chars").alias("chars"))
+    late = freeze(_later_near_lines(candidates), "line-near")
+    copies = fetched.filter("not near and pos > first").select("_doc", "_t1", "_t2", "line_no")
+    near = attach(fetched.filter("near").select("_doc", "_t1", "_t2", "line_no", "h1", "h2"), late, ["h1", "h2"]).drop("h1", "h2")
+    return copies.unionByName(near).groupBy("_doc", "_t1", "_t2").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

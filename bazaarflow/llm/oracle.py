@@ -6,7 +6,7 @@ from __future__ import annotations
 LINE_DEDUP = """
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS known FROM documents),
 lines AS (
-  SELECT doc_id, i - 1 AS line_no, parts[i] AS raw, lower(trim(parts[i], ' ' || chr(9) || chr(13))) AS line
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(13)) AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs))
 ),
 firsts AS (

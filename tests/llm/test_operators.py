@@ -96,13 +96,13 @@ def _near(a: str, b: str) -> bool:
 
 def test_line_dedup_matches_all_pairs(spark):
     rows = [r for r in ROWS if r[1] is None or len(r[1]) < 1000]
-    lines = [(i, n, line.strip(" \t\r").lower()) for i, t, *_ in rows if t is not None for n, line in enumerate(t.split("\n"))]
+    lines = [(i, n, line.strip(" \t\r")) for i, t, *_ in rows if t is not None for n, line in enumerate(t.split("\n"))]
     lines = sorted(x for x in lines if len(x[2]) >= line_dedup.MIN_CHARS)
     gone = defaultdict(list)
     for at, (i, n, line) in enumerate(lines):
         if any(_near(line, earlier) for _, _, earlier in lines[:at]):
             gone[i].append(n)
-    assert sum(map(len, gone.values())) >= 9
+    assert sum(map(len, gone.values())) >= 6
     found = line_dedup.line_dedup(corpus.frame(spark, rows, repeat=False)).collect()
     for row in found:
         text = dict((i, t) for i, t, *_ in rows)[row.doc_id]
