@@ -13,9 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Top-k lists up to this length are merged by Spark's own top-k operator; longer ones are cut from a full ordering.
-TOP_K_MERGE_LIMIT = 50_000
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only a local session may fall back to a temporary one."""
@@ -51,33 +48,29 @@ def sorted_blocks(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return cut_lineage(placed)
 
 
-def _block_offsets(blocks: DataFrame, sums: dict[str, Column]) -> tuple[dict[str, Column], dict[str, int]]:
-    """Per block, the totals of all earlier blocks as a looked-up column; and the grand totals.
+def _with_offsets(blocks: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``blocks`` with ``_before_<name>``, the totals of all earlier blocks; and the grand totals.
 
-    One row per block goes to the driver and comes back as an array literal, so no join is needed. Totals are whole
+    One row per block goes to the driver and back as a small table that is copied to the executors. Totals are whole
     numbers.
     """
     rows = blocks.groupBy("_block").agg(*(expr.alias(name) for name, expr in sums.items())).collect()
     by_block = {row["_block"]: row for row in rows}
-    offsets: dict[str, list[int]] = {name: [] for name in sums}
-    running = dict.fromkeys(sums, 0)
-    for block in range(max(by_block, default=-1) + 1):
+    offsets, running = [], dict.fromkeys(sums, 0)
+    for block in sorted(by_block):
+        offsets.append((block, *running.values()))
         for name in sums:
-            offsets[name].append(running[name])
-            if block in by_block:
-                running[name] += int(by_block[block][name] or 0)
-    columns = {}
-    for name in sums:
-        table = F.array(*(F.lit(value).cast("bigint") for value in offsets[name] or [0]))
-        columns[name] = F.get(table, F.col("_block").cast("int"))
-    return columns, running
+            running[name] += int(by_block[block][name] or 0)
+    schema = ", ".join(["_block bigint", *(f"`_before_{name}` bigint" for name in sums)])
+    table = blocks.sparkSession.createDataFrame(offsets, schema)
+    return blocks.join(F.broadcast(table), "_block"), running  # one row per sort block
 
 
 def with_ordinal(df: DataFrame, order: Sequence[Column | str], name: str = "ordinal") -> tuple[DataFrame, int]:
     """Add the 0-based global position under ``order``; also return the row count."""
     blocks = sorted_blocks(df, order)
-    offsets, totals = _block_offsets(blocks, {"rows": F.count(F.lit(1))})
-    return blocks.select(*df.columns, (F.col("_pos") + offsets["rows"]).alias(name)), totals["rows"]
+    placed, totals = _with_offsets(blocks, {"rows": F.count(F.lit(1))})
+    return placed.select(*df.columns, (F.col("_pos") + F.col("_before_rows")).alias(name)), totals["rows"]
 
 
 def with_running_totals(
@@ -88,10 +81,10 @@ def with_running_totals(
     Also returns the grand totals.
     """
     blocks = sorted_blocks(df, order)
-    offsets, totals = _block_offsets(blocks, {name: F.sum(column) for name, column in sums.items()})
+    placed, totals = _with_offsets(blocks, {name: F.sum(column) for name, column in sums.items()})
     inside = Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = [(F.sum(column).over(inside) + offsets[name]).alias(name) for name, column in sums.items()]
-    return blocks.select(*df.columns, *running), totals
+    running = [(F.sum(column).over(inside) + F.col(f"_before_{name}")).alias(name) for name, column in sums.items()]
+    return placed.select(*df.columns, *running), totals
 
 
 def rank_within(df: DataFrame, key: str, order: Sequence[Column | str], name: str) -> DataFrame:
@@ -115,9 +108,7 @@ def rank_within(df: DataFrame, key: str, order: Sequence[Column | str], name: st
 
 
 def top_rows(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
-    """The first ``k`` rows under ``order`` (which must end in a unique key), exact for any ``k``."""
-    if k <= TOP_K_MERGE_LIMIT:
-        return df.orderBy(*order).limit(k)
+    """The first ``k`` rows under ``order`` (which must end in a unique key), exact for any ``k``: no task merges lists."""
     placed, _ = with_ordinal(df, order, "_place")
     return placed.filter(F.col("_place") < k).drop("_place")
 

@@ -24,6 +24,24 @@ def dq_required_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "missing_column string")
 
 
+def column_presence(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """One row per required column: whether ``df`` has it, and how many of its rows hold a value there."""
+    absent = set(missing_columns(df, required))
+    counts = df.agg(*((F.lit(0).cast("bigint") if name in absent else F.count(F.col(f"`{name}`"))).alias(name) for name in required))
+    rows = F.array(
+        *(F.struct(F.lit(n).alias("column_name"), F.lit(n not in absent).alias("present"), F.col(f"`{n}`").alias("filled_rows")) for n in required)
+    )
+    return counts.select(F.inline(rows))
+
+
+def dq_truncated_horizons(silver: DataFrame, snapshots: Sequence) -> DataFrame:
+    """Snapshots whose longest label horizon reaches beyond the last event: their labels count less than a full horizon."""
+    last = silver.agg(F.max("event_date").alias("last"))
+    reach = F.array(*(F.date_add(F.lit(str(day)).cast("date"), max(HORIZONS)) for day in snapshots))
+    beyond = F.size(F.filter(reach, lambda day: F.coalesce(day > F.col("last"), F.lit(True))))
+    return _verdict(last, "LABEL_HORIZON_TRUNCATED", F.max(beyond))
+
+
 def dq_bad_timestamp_ratio(raw: DataFrame, limit: float = BAD_TIMESTAMP_LIMIT) -> DataFrame:
     """Raw rows, rows whose timestamp cannot be parsed, their ratio, and whether it is within the limit."""
     counted = raw.agg(

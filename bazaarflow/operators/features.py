@@ -38,6 +38,15 @@ def snapshot_dates(spark: SparkSession, panel_end: date | str, months: int = SNA
     return spark.range(months).select(F.add_months(end, back).alias("as_of_date"))
 
 
+def snapshots_in_bounds(silver: DataFrame, panel_end: date | str, months: int = SNAPSHOT_COUNT) -> DataFrame:
+    """The as-of dates, and whether each lies between the first and the last event of ``silver``."""
+    bounds = silver.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last"))
+    back = F.sequence(F.lit(1 - months), F.lit(0))
+    dates = F.transform(back, lambda m: F.add_months(F.lit(str(panel_end)).cast("date"), m))
+    inside = F.col("as_of_date").between(F.col("first"), F.col("last"))
+    return bounds.select("first", "last", F.explode(dates).alias("as_of_date")).select("as_of_date", F.coalesce(inside, F.lit(False)).alias("in_bounds"))
+
+
 def snapshot_list(snapshots: Snapshots) -> list[date]:
     """Sorted distinct dates; a snapshot table is a handful of rows by contract."""
     values = [row[0] for row in snapshots.select("as_of_date").collect()] if isinstance(snapshots, DataFrame) else snapshots

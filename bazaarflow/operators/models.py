@@ -7,14 +7,14 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarflow.operators.policy import expected_value_score
-from bazaarflow.operators.prep import apply_spend_cap, feature_assembly, numeric_features
+from bazaarflow.operators.prep import OneClassError, apply_spend_cap, feature_assembly, numeric_features
 from bazaarflow.schemas import PROPENSITY_MODELS, require_columns
 
 SEED = 42
@@ -27,24 +27,57 @@ def with_class_weights(rows: DataFrame, label: str = "purchase_label") -> tuple[
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     ).first()
     if not counts["pos"] or not counts["neg"]:
-        raise ValueError("Training labels contain only one class. Try an earlier as_of_date.")
+        raise OneClassError("one of the two classes is missing from the training rows")
     weight = F.when(F.col(label) == 1, counts["n"] / (2.0 * counts["pos"])).otherwise(counts["n"] / (2.0 * counts["neg"]))
     return rows.withColumn("class_weight", weight), float(counts["n"])
 
 
+def scaled_assembly(rows: DataFrame, lookback: int) -> list:
+    """Stages that divide every input and country flag by its sample deviation on ``rows`` and collect them in ``features``.
+
+    The divisions are plain SQL columns, so a fitted pipeline holds numbers only. An input without spread becomes 0. The
+    countries are a small closed vocabulary.
+    """
+    countries = [r[0] for r in rows.select("country").distinct().orderBy("country").collect() if r[0] is not None]
+    quoted = [name.replace("\\", "\\\\").replace("'", "\\'") for name in countries]
+    inputs = [f"`{name}`" for name in numeric_features(lookback)] + [f"CAST(country <=> '{name}' AS DOUBLE)" for name in quoted]
+    spread = rows.agg(*(F.stddev_samp(F.expr(text)).alias(f"s{i}") for i, text in enumerate(inputs))).first()
+    scaled = [f"{text} / {float(s)!r}D AS scaled_{i}" if s else f"0.0D AS scaled_{i}" for i, (text, s) in enumerate(zip(inputs, spread, strict=True))]
+    names = [f"scaled_{i}" for i in range(len(inputs))]
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"), VectorAssembler(inputCols=names, outputCol="features")]
+
+
+def _scoring_stages(model: LogisticRegressionModel) -> list:
+    """The fitted model as plain SQL over the scaled inputs, with its usual ``rawPrediction`` and ``probability``.
+
+    A freshly fitted model also holds its training summary and with it the session, which cannot be sent to tasks once
+    the session has observed a query; its numbers are all that scoring needs.
+    """
+    terms = [f"{float(c)!r}D * scaled_{i}" for i, c in enumerate(model.coefficients.toArray())]
+    margin = " + ".join([f"{float(model.intercept)!r}D", *terms])
+    chance = "1.0D / (1.0D + exp(-margin))"
+    return [
+        SQLTransformer(statement=f"SELECT *, {margin} AS margin FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, -margin AS against, 1.0D - {chance} AS chance_0, {chance} AS chance_1 FROM __THIS__"),
+        VectorAssembler(inputCols=["against", "margin"], outputCol="rawPrediction"),
+        VectorAssembler(inputCols=["chance_0", "chance_1"], outputCol="probability"),
+    ]
+
+
 def propensity_logistic(train: DataFrame, lookback: int, max_iter: int = 2000) -> PipelineModel:
     """Class-balanced logistic regression on scaled inputs; unit L2 strength, expressed per unit of total weight."""
     rows, n = with_class_weights(train)
-    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
     fit = LogisticRegression(
-        featuresCol="scaled",
+        featuresCol="features",
         labelCol="purchase_label",
         weightCol="class_weight",
         regParam=1.0 / n,
         standardization=False,
         maxIter=max_iter,
     )
-    return Pipeline(stages=[feature_assembly(lookback), scale, fit]).fit(rows)
+    scaling = scaled_assembly(rows, lookback)
+    fitted = Pipeline(stages=[*scaling, fit]).fit(rows).stages[-1]
+    return PipelineModel([*scaling, *_scoring_stages(fitted)])
 
 
 def propensity_gbt(train: DataFrame, lookback: int, max_iter: int = 300) -> PipelineModel:

@@ -13,6 +13,10 @@ from bazaarflow.schemas import SNAPSHOT_COUNT, SPEND_CAP_QUANTILE, check_windows
 SLICES = ("train", "validation", "test")
 
 
+class OneClassError(ValueError):
+    """All labels are equal, so nothing can be learned."""
+
+
 def numeric_features(lookback: int) -> list[str]:
     """Model inputs for one lookback, in their frozen order. The 30-day pair is always present."""
     return [
@@ -49,7 +53,7 @@ def split_10_1_1(rows: DataFrame, date_col: str = "as_of_date") -> DataFrame:
     dates = sorted(row[0] for row in rows.select(date_col).distinct().limit(SNAPSHOT_COUNT + 1).collect())
     if len(dates) != SNAPSHOT_COUNT:
         found = f"more than {SNAPSHOT_COUNT}" if len(dates) > SNAPSHOT_COUNT else str(len(dates))
-        raise ValueError(f"Strict split requires exactly {SNAPSHOT_COUNT} snapshots (got {found}).")
+        raise ValueError(f"the panel must hold {SNAPSHOT_COUNT} snapshots to be split, it holds {found}")
     day = F.col(date_col)
     name = F.when(day == F.lit(dates[-1]), "test").when(day == F.lit(dates[-2]), "validation").otherwise("train")
     return rows.withColumn("slice", name)
@@ -64,7 +68,7 @@ def label_class_check(train: DataFrame, label: str = "purchase_label") -> DataFr
 
 def require_two_classes(train: DataFrame, label: str = "purchase_label") -> None:
     if not label_class_check(train, label).first()["passed"]:
-        raise ValueError("Training labels contain only one class. Try an earlier as_of_date.")
+        raise OneClassError("the training slice has no contrast: every label is the same")
 
 
 def spend_cap_value(train: DataFrame, lookback: int, q: float = SPEND_CAP_QUANTILE) -> DataFrame:

@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import dot, l2_normalized
-from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir, with_ordinal
+from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir, rank_within, with_ordinal
 from bazaarflow.schemas import SPLIT_NAMES
 
 SEED = 42
-# A matrix of item vectors up to this size is copied to every executor; beyond it users and items meet in blocks.
-BROADCAST_BYTES = 256 * 1024 * 1024
-USERS_PER_BLOCK = 20_000
-ITEMS_PER_BLOCK = 20_000
+MOST_ALS_IDS = 2**31 - 1
+# Users and items meet in blocks; a block of vectors takes about so many bytes.
+BLOCK_BYTES = 64 * 1024 * 1024
 # Scores held at once by one task while it ranks (32 MB of doubles).
 SCORES_IN_MEMORY = 4_000_000
 
@@ -34,11 +33,11 @@ SCORES_IN_MEMORY = 4_000_000
 # --- interactions -------------------------------------------------------------------------------------------------
 def split_interactions(splits: DataFrame) -> DataFrame:
     """Distinct (user, split, item) rows; every split must have some."""
-    pairs = splits.select("user_id", "split", "item_id").distinct()
-    present = {row[0] for row in pairs.select("split").distinct().limit(len(SPLIT_NAMES) + 1).collect()}
-    for name in SPLIT_NAMES:
-        if name not in present:
-            raise ValueError(f"No {name} interactions found.")
+    pairs = splits.filter(F.col("split").isin(*SPLIT_NAMES)).select("user_id", "split", "item_id").distinct()
+    present = {row[0] for row in pairs.select("split").distinct().collect()}  # at most the three names
+    absent = [name for name in SPLIT_NAMES if name not in present]
+    if absent:
+        raise ValueError(f"the split table holds no rows for: {', '.join(absent)}")
     return pairs
 
 
@@ -61,7 +60,7 @@ def popularity_scores(
 ) -> DataFrame:
     """Train rows per item (or distinct users), damped and divided by the largest value."""
     if transform not in ("log1p", "linear"):
-        raise ValueError(f"Unsupported popularity transform: {transform}")
+        raise ValueError(f"transform must be log1p or linear, not {transform}")
     train = splits.filter(F.col("split") == "train")
     if distinct_users:
         train = train.select("user_id", "item_id").distinct()
@@ -77,25 +76,28 @@ def popularity_scores(
 def popularity_top_k(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """The ``k`` most popular unseen items of each user, exact.
 
-    Items get a global place by popularity. A user with s seen items needs only the places below k + s, so the answer is
-    that short run of numbers minus the seen places; the work grows with users x k plus the seen pairs.
+    Items get a global place by popularity. The j-th seen place p of a user (from 1) has p - (j - 1) unseen places before
+    it; counting the seen places by that number, up to k of them, gives every place of the list: the r-th unseen place is
+    r plus the seen places with at most r unseen ones before. A user holds k counts, however many items they have seen.
     """
     placed, n_items = with_ordinal(scores.select("item_idx", "score"), [F.desc("score"), F.asc("item_idx")], "place")
     if n_items == 0:
         return users.select("user_idx").limit(0).selectExpr(
             "user_idx", "CAST(0 AS BIGINT) AS rank", "CAST(0 AS BIGINT) AS item_idx", "CAST(0 AS DOUBLE) AS score"
         )
-    # One entry per distinct seen item, so a list is never longer than the item table.
-    hidden = seen.join(placed.select("item_idx", "place"), "item_idx").groupBy("user_idx").agg(
-        F.collect_set("place").alias("hidden")
-    )
-    wanted = users.select("user_idx").join(hidden, "user_idx", "left")
-    none = F.array().cast("array<bigint>")
-    wanted = wanted.withColumn("hidden", F.coalesce("hidden", none))
-    last = F.least(F.size("hidden") + F.lit(k), F.lit(n_items)).cast("bigint") - 1
-    run = F.sequence(F.lit(0).cast("bigint"), last)
-    head = F.slice(F.array_except(run, F.col("hidden")), 1, k)
-    listed = wanted.select("user_idx", F.posexplode(head).alias("pos", "place"))
+    hidden = seen.select("user_idx", "item_idx").distinct().join(placed.select("item_idx", "place"), "item_idx")
+    numbered = rank_within(hidden.select("user_idx", "place"), "user_idx", ["place"], "position")
+    before = numbered.withColumn("before", F.col("place") - F.col("position") + 1).filter(F.col("before") < k)
+    counts = before.groupBy("user_idx", "before").agg(F.count(F.lit(1)).alias("places"))
+    shifts = counts.groupBy("user_idx").agg(F.collect_list(F.struct("before", "places")).alias("shifts"))
+    wanted = users.select("user_idx").join(shifts, "user_idx", "left")
+
+    def place(rank):
+        earlier = F.filter("shifts", lambda s: s["before"] <= rank)
+        return rank + F.coalesce(F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, s: total + s["places"]), F.lit(0))
+
+    run = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), place)
+    listed = wanted.select("user_idx", F.posexplode(run).alias("pos", "place")).filter(F.col("place") < n_items)
     return listed.join(placed, "place").select(
         "user_idx", (F.col("pos") + 1).cast("bigint").alias("rank"), "item_idx", "score"
     )
@@ -107,7 +109,7 @@ def tfidf_interactions(pairs: DataFrame, n_users: int, weighting: str = "tfidf")
     if weighting == "binary":
         return pairs.select("user_idx", "item_idx", F.lit(1.0).alias("weight"))
     if weighting != "tfidf":
-        raise ValueError(f"Unsupported MF weighting mode: {weighting}")
+        raise ValueError(f"weighting must be tfidf or binary, not {weighting}")
     frequency = pairs.groupBy("item_idx").agg(F.count(F.lit(1)).alias("users"))
     idf = frequency.select("item_idx", F.log1p(F.lit(float(n_users)) / F.greatest("users", F.lit(1))).alias("idf"))
     weighted = pairs.join(idf, "item_idx")
@@ -215,7 +217,13 @@ def learned_retriever(
 ) -> tuple[DataFrame, DataFrame]:
     """User and item embeddings learned from binary positives by alternating least squares, at unit length."""
     ensure_checkpoint_dir(pairs.sparkSession)
+    highest = pairs.agg(F.max(F.greatest("user_idx", "item_idx"))).first()[0] or 0
+    if highest > MOST_ALS_IDS:
+        raise ValueError(f"alternating least squares takes 32-bit ids, the index reaches {highest}")
+    blocks = max(2, pairs.sparkSession.sparkContext.defaultParallelism)
     als = ALS(
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         userCol="user_idx",
         itemCol="item_idx",
         ratingCol="rating",
@@ -262,7 +270,7 @@ def dot_product_scores(user_vecs: DataFrame, item_vecs: DataFrame, pairs: DataFr
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in vectors])
+    return np.stack(vectors.to_numpy()).astype(float, copy=False) if len(vectors) else np.empty((0, 0))
 
 
 def _rank_block(
@@ -307,23 +315,6 @@ def _best_k(scores: DataFrame, k: int) -> DataFrame:
     return ranked.select("user_idx", F.col("rank").cast("bigint").alias("rank"), "item_idx", "score")
 
 
-def _with_copied_items(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """The item matrix is small: every task scores its users against all items at once."""
-    table = item_vecs.select("item_idx", "vector").toPandas().sort_values("item_idx")
-    shared = user_vecs.sparkSession.sparkContext.broadcast((table["item_idx"].to_numpy(), _matrix(table["vector"])))
-    hidden = seen.groupBy("user_idx").agg(F.collect_set("item_idx").alias("hidden"))
-    rows = user_vecs.select("user_idx", "vector").join(hidden, "user_idx", "left")
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item_ids, items = shared.value
-        for batch in batches:
-            if len(batch):
-                ids = batch["user_idx"].to_numpy()
-                yield _rank_block(ids, _matrix(batch["vector"]), list(batch["hidden"]), item_ids, items, k)
-
-    return _best_k(rows.mapInPandas(rank, _RANKED), k)
-
-
 def _in_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_blocks: int) -> DataFrame:
     """Users (``user_idx, vector, item_block``) against items (``item_idx, vector, item_block``), block by block.
 
@@ -354,27 +345,20 @@ def _in_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user
     return _best_k(scored, k)
 
 
+def _per_block(dim: int, block_bytes: int) -> int:
+    return max(1, block_bytes // (8 * max(dim, 1)))
+
+
 def embedding_top_k(
-    user_vecs: DataFrame,
-    item_vecs: DataFrame,
-    seen: DataFrame,
-    k: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    items_per_block: int = ITEMS_PER_BLOCK,
-    users_per_block: int = USERS_PER_BLOCK,
+    user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Exact ``k`` best unseen items per user by inner product, ranked from 1.
-
-    The item matrix is measured first: it is copied to the executors only below ``broadcast_bytes``, otherwise users and
-    items meet in blocks. Both ways give the same rows.
-    """
+    """Exact ``k`` best unseen items per user by inner product, ranked from 1. Users and items meet in blocks."""
     shape = item_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not shape["n"]:
         return _best_k(user_vecs.limit(0).selectExpr("user_idx", "user_idx AS item_idx", "CAST(0 AS DOUBLE) AS score"), k)
-    if shape["n"] * shape["dim"] * 8 <= broadcast_bytes:
-        return _with_copied_items(user_vecs, item_vecs, seen, k)
-    item_blocks = math.ceil(shape["n"] / items_per_block)
-    user_blocks = max(1, math.ceil(user_vecs.count() / users_per_block))
+    per_block = _per_block(shape["dim"], block_bytes)
+    item_blocks = math.ceil(shape["n"] / per_block)
+    user_blocks = max(1, math.ceil(user_vecs.count() / per_block))
     block = F.pmod(F.xxhash64("item_idx"), F.lit(item_blocks)).cast("int")
     items = item_vecs.select("item_idx", "vector", block.alias("item_block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("item_block")
@@ -389,49 +373,52 @@ def approx_top_k(
     k: int,
     probes: int = 8,
     seed: int = SEED,
-    items_per_block: int = ITEMS_PER_BLOCK,
-    users_per_block: int = USERS_PER_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate inner-product retrieval: items are clustered, a user is scored only against the nearest clusters.
 
-    Scores are exact and seen items are masked; what can be missed are items of clusters that were not probed. A cluster
-    that holds very many items is cut into several blocks.
+    At least ``probes`` clusters are probed, and as many more as it takes to hold ``k`` items besides the seen ones, so
+    every list is as long as an exact one. Scores are exact and seen items are masked; what can be missed are items of
+    clusters that were not probed. A cluster that holds very many items is cut into several blocks.
     """
-    n_items = item_vecs.count()
-    cells = max(1, math.isqrt(n_items))
+    shape = item_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    per_block = _per_block(shape["dim"] or 0, block_bytes)
+    cells = max(1, math.isqrt(shape["n"]))
     vectors = item_vecs.select("item_idx", "vector", array_to_vector("vector").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(vectors)
     centers = np.array(model.clusterCenters())
     assigned = cut_lineage(model.transform(vectors).select("item_idx", "vector", "cell"))
     # One row per cluster (the square root of the item count): how many blocks it needs, and where they start.
-    first_block, blocks_of = {}, {}
+    first_block, blocks_of, sizes = {}, {}, []
     for row in assigned.groupBy("cell").count().orderBy("cell").collect():
         first_block[row["cell"]] = sum(blocks_of.values())
-        blocks_of[row["cell"]] = math.ceil(row["count"] / items_per_block)
+        blocks_of[row["cell"]] = math.ceil(row["count"] / per_block)
+        sizes.append(row["count"])
     table = [(cell, first_block[cell], blocks_of[cell]) for cell in first_block]
     layout = item_vecs.sparkSession.createDataFrame(table, "cell int, first_block int, blocks int")
     slot = F.pmod(F.xxhash64("item_idx"), F.col("blocks")).cast("int")
     items = assigned.join(layout, "cell").select(
         "item_idx", "vector", (F.col("first_block") + slot).cast("int").alias("item_block")
     )
-    probed = min(probes, len(table))
-    known = np.array([cell for cell, _, _ in table])
+    known, held = np.array([cell for cell, _, _ in table]), np.array(sizes)
+    taken = seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("taken"))
+    asking = user_vecs.select("user_idx", "vector").join(taken, "user_idx", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            nearness = _matrix(batch["vector"]) @ centers[known].T
-            chosen = known[np.argsort(-nearness, axis=1, kind="stable")[:, :probed]]
-            yield batch.assign(cells=list(chosen.astype("int32")))
+            order = np.argsort(-(_matrix(batch["vector"]) @ centers[known].T), axis=1, kind="stable")
+            reached = np.cumsum(held[order], axis=1)
+            needed = (reached < (k + batch["taken"].to_numpy())[:, None]).sum(axis=1) + 1
+            chosen = [known[row[: max(probes, n)]].astype("int32") for row, n in zip(order, needed, strict=True)]
+            yield batch[["user_idx", "vector"]].assign(cells=chosen)
 
-    routed = user_vecs.select("user_idx", "vector").mapInPandas(
-        probe, "user_idx bigint, vector array<double>, cells array<int>"
-    )
+    routed = asking.mapInPandas(probe, "user_idx bigint, vector array<double>, cells array<int>")
     routed = routed.select("user_idx", "vector", F.explode("cells").alias("cell")).join(layout, "cell")
     every = F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("blocks") - 1)).alias("item_block")
     users = routed.select("user_idx", "vector", every)
-    user_blocks = max(1, math.ceil(user_vecs.count() / users_per_block))
+    user_blocks = max(1, math.ceil(user_vecs.count() / per_block))
     return _in_blocks(users, items, seen, k, user_blocks)
 
 

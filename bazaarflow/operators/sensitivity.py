@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bazaarflow.functions.columns import has_user, round_half_away
 from bazaarflow.operators import metrics
 from bazaarflow.operators.models import calibrated_scores
-from bazaarflow.operators.prep import apply_spend_cap, require_two_classes, spend_cap_value, split_10_1_1, training_rows
+from bazaarflow.operators.prep import OneClassError, apply_spend_cap, require_two_classes, spend_cap_value, split_10_1_1, training_rows
 from bazaarflow.schemas import HORIZONS, LOOKBACKS, PROPENSITY_MODELS
 
 # (fit rows, score rows, lookback) -> score rows with propensity_score
@@ -94,7 +94,7 @@ SWEEP_SCHEMA = (
 
 
 def _evaluate(panel: DataFrame, name: str, scorer: Scorer, horizon: int, lookback: int) -> tuple:
-    """Validation metrics of one model at one (horizon, lookback); a fit that fails becomes an ``invalid`` row."""
+    """Validation metrics of one model at one (horizon, lookback); labels of one class become an ``invalid`` row."""
     try:
         rows = split_10_1_1(training_rows(panel, horizon, lookback))
         train = rows.filter("slice = 'train'")
@@ -108,7 +108,7 @@ def _evaluate(panel: DataFrame, name: str, scorer: Scorer, horizon: int, lookbac
             scored.unpersist()
         finally:
             capped.unpersist()
-    except Exception as error:  # noqa: BLE001 - the sweep reports an unusable combination and goes on
+    except OneClassError as error:
         return (name, "invalid", 0.0, 0.0, 0.0, 1.0, 1.0, 0, 0, 0.0, 0.0, f"{type(error).__name__}: {error}"[:500])
     return (
         name,

@@ -73,14 +73,17 @@ def valid_lines(typed: DataFrame) -> DataFrame:
 
 
 def silver_grain_agg(valid: DataFrame) -> DataFrame:
-    """One row per (invoice, item, timestamp): net quantity, mean price, net revenue, and the largest text values."""
-    revenue = F.col("quantity") * F.col("unit_price")
+    """One row per (invoice, item, timestamp): net quantity, mean price, net revenue, and the largest text values.
+
+    Quantities and revenues are summed as decimals, so the sums do not depend on how rows are spread over tasks.
+    """
+    revenue = (F.col("quantity") * F.col("unit_price")).cast("decimal(38,8)")
     return valid.groupBy(*GRAIN).agg(
         F.max("item_description").alias("item_description"),
         # A cast alone would truncate; quantities are rounded to the nearest whole number.
-        F.rint(F.sum("quantity")).cast("int").alias("quantity"),
+        F.rint(F.sum(F.col("quantity").cast("decimal(38,8)")).cast("double")).cast("int").alias("quantity"),
         round_half_away(F.avg("unit_price"), 4).alias("unit_price"),
-        round_half_away(F.sum(revenue), 4).alias("line_revenue"),
+        round_half_away(F.sum(revenue).cast("double"), 4).alias("line_revenue"),
         F.max(blank_to_null(F.col("user_id"))).alias("user_id"),
         F.max(blank_to_null(F.col("country"))).alias("country"),
     )

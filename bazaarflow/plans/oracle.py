@@ -207,6 +207,20 @@ def gold_statements() -> dict[str, str]:
         "train_table",
         "silver",
     )
+    raw = (
+        'SELECT invoice_id AS "Invoice", item_id AS "StockCode", item_description AS "Description", {quantity} AS "Quantity", '
+        '{stamp} AS "InvoiceDate", {price} AS "Price", user_id || \'.0\' AS "Customer ID", country AS "Country" FROM lines'
+    )
+    d["raw_csv_source"] = statement(
+        raw.format(quantity="CAST(quantity AS VARCHAR)", stamp="strftime(event_ts, '%Y-%m-%d %H:%M:%S')", price="CAST(unit_price AS VARCHAR)"),
+        "lines",
+    )
+    d["parquet_sink"] = statement("SELECT 'silver_transactions_line_items' AS artifact, count(*) AS rows FROM silver", "silver")
+    d["parquet_to_csv_export"] = statement(
+        "SELECT * REPLACE (CAST(quantity AS VARCHAR) AS quantity, CAST(unit_price AS VARCHAR) AS unit_price, "
+        f"CAST(line_revenue AS VARCHAR) AS line_revenue) FROM ({_SILVER_OUT})",
+        "silver",
+    )
     d["raw_dedup"] = statement(
         """SELECT invoice_id AS "Invoice", item_id AS "StockCode", item_description AS "Description", quantity AS "Quantity",
         CAST(event_ts AS VARCHAR) AS "InvoiceDate", unit_price AS "Price", user_id AS "Customer ID", country AS "Country"
@@ -233,7 +247,12 @@ def gold_statements() -> dict[str, str]:
         "silver",
     )
 
-    d["snapshot_dates"] = statement("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date FROM panel_dates", "panel_dates")
+    d["snapshot_dates"] = statement(
+        """SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, as_of_date BETWEEN a AND b AS in_bounds
+        FROM panel_dates, (SELECT min(event_date) AS a, max(event_date) AS b FROM silver)""",
+        "panel_dates",
+        "silver",
+    )
     event_out = (
         "SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, user_id, invoice_id, CAST(event_ts AS VARCHAR) AS event_ts, "
         "CAST(event_date AS VARCHAR) AS event_date, line_revenue, country, quantity FROM "
@@ -338,11 +357,19 @@ def dq_statements() -> dict[str, str]:
         1.0 - count(event_ts) / count(*) <= 0.01 AS passed FROM lines""",
         "lines",
     )
-    report = " UNION ALL ".join(
-        _verdict(failing[key][0], failing[key][1])
-        for key in ("dq_silver_duplicates", "dq_invalid_split", "dq_split_chronology", "dq_window_in_bounds")
+    d["dq_required_columns"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, true AS present, count({name}) AS filled_rows FROM lineitem"
+        for name in ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    )
+    of_items = failing["dq_index_contiguity"][1].replace("user_i", "item_i").replace("FROM users", "FROM items")
+    verdicts = [(check_id, rows) for check_id, rows, _ in failing.values()]
+    verdicts.append(("INDEX_item_idx", of_items))
+    verdicts.append(
+        ("LABEL_HORIZON_TRUNCATED", "SELECT count(*) FROM panel_dates WHERE as_of_date + 90 > (SELECT max(event_date) FROM silver)")
     )
-    d["dq_report"] = statement(report, "silver", "splits")
+    reads = [name for _, _, names in failing.values() for name in names]
+    report = " UNION ALL ".join(_verdict(*verdict) for verdict in verdicts)
+    d["dq_report"] = on_panel(report, *dict.fromkeys([*reads, "items", "panel_dates"]))
     return d
 
 
@@ -511,6 +538,9 @@ def propensity_statements() -> dict[str, str]:
         "scored",
     )
 
+    served = ", ".join(f"round({c}, 6) AS {c}" for c in ("propensity_score", "predicted_conditional_revenue_30d", "expected_value_score"))
+    d["serving_scores_csv_sink"] = on_panel(f"SELECT {_KEY}, {served} FROM scored WHERE slice = 'test'", "scored")
+
     d["inter_purchase_gaps"] = statement(
         "SELECT user_id, CAST(event_date AS VARCHAR) AS event_date, CAST(gap_days AS INTEGER) AS gap_days FROM gaps", "gaps"
     )
@@ -659,8 +689,11 @@ def recommender_statements() -> dict[str, str]:
     )
     d["rank_candidates"] = statement(
         """SELECT user_idx, item_idx, rank, round(score, 6) AS score FROM (
-            SELECT user_idx, item_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank
-            FROM pairs JOIN pop_scores USING (item_idx)) WHERE rank <= 20""",
+            SELECT user_idx, item_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY buyers DESC, item_idx) AS rank FROM (
+                SELECT user_idx, p.item_idx, buyers, ln(1 + buyers) / (SELECT ln(1 + max(buyers)) FROM pop) AS score
+                FROM users, pop_scores p WHERE (user_idx, p.item_idx) NOT IN (SELECT (user_idx, item_idx) FROM pairs)
+                QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY interactions DESC, p.item_idx) <= 40)) WHERE rank <= 20""",
+        "users",
         "pairs",
         "pop_scores",
     )

@@ -31,7 +31,7 @@ from bazaarflow.operators import (
 )
 from bazaarflow.plans import propensity, recommender
 from bazaarflow.plans.oracle import AS_OF, INTERACTIONS_FROM, INTERACTIONS_TO, PANEL_END
-from bazaarflow.schemas import EVALUATION_K, RAW_COLUMNS
+from bazaarflow.schemas import EVALUATION_K
 from bazaarflow.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +92,7 @@ def _splits(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks --------------------------------------------------------------------------------------------
 def _raw_csv_source(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "raw-csv")
-    _raw(spark, sf).write.option("header", True).csv(path)
+    _raw(spark, sf).write.options(**writers.CSV_OPTIONS).csv(path)
     return readers.raw_csv_source(spark, path)
 
 
@@ -117,7 +117,7 @@ def _parquet_to_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     source, target = scratch_path(spark, "silver"), scratch_path(spark, "silver-csv")
     writers.parquet_sink(plain(_silver(spark, sf)), source)
     writers.parquet_to_csv_export(spark, source, target)
-    return spark.read.option("header", True).csv(target)
+    return spark.read.options(header=True, multiLine=True, escape='"').csv(target)
 
 
 def _run_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +159,7 @@ def gold_queries() -> dict[str, Query]:
         "silver_grain_agg": lambda s, sf: plain(silver.silver_grain_agg(_valid(s, sf))),
         "silver_transactions": lambda s, sf: plain(_silver(s, sf)),
         "silver_event_bounds": lambda s, sf: plain(silver.silver_event_bounds(_silver(s, sf))),
-        "snapshot_dates": lambda s, sf: plain(features.snapshot_dates(s, PANEL_END)),
+        "snapshot_dates": lambda s, sf: plain(features.snapshots_in_bounds(_silver(s, sf), PANEL_END)),
         "asof_events": lambda s, sf: plain(_asof(s, sf)),
         "positive_events": lambda s, sf: plain(_bought(s, sf)),
         "asof_users": lambda s, sf: plain(features.asof_users(_asof(s, sf))),
@@ -189,19 +189,33 @@ def gold_queries() -> dict[str, Query]:
 
 # --- data quality -------------------------------------------------------------------------------------------------
 def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every verdict of the silver, propensity and recommender tables, each table written once."""
     clean = cut_lineage(_silver(spark, sf))
-    split_rows = splits.user_item_splits(splits.interaction_events(clean, INTERACTIONS_FROM, INTERACTIONS_TO))
+    split_rows = cut_lineage(splits.user_item_splits(splits.interaction_events(clean, INTERACTIONS_FROM, INTERACTIONS_TO)))
     return dq.dq_report(
         dq.dq_silver_duplicates(clean),
+        dq.dq_feature_duplicates(features.user_features_asof(clean, PANEL)),
+        dq.dq_invalid_labels(labels.labels_long(clean, PANEL)),
+        dq.dq_train_duplicates(labels.propensity_panel(clean, PANEL_END, check_bounds=False)),
+        dq.dq_truncated_horizons(clean, PANEL),
         dq.dq_invalid_split(split_rows),
         dq.dq_split_chronology(split_rows),
+        dq.dq_split_chronology_strict(split_rows),
+        dq.dq_index_contiguity(splits.user_index(split_rows), "user_id", "user_idx"),
+        dq.dq_index_contiguity(splits.item_index(split_rows), "item_id", "item_idx"),
         dq.dq_window_in_bounds(clean, INTERACTIONS_FROM, INTERACTIONS_TO),
     )
 
 
+def _column_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """The line table's own file schema against the columns the adapter reads."""
+    own = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return dq.column_presence(own, readers.required_columns("lineitem"))
+
+
 def dq_queries() -> dict[str, Query]:
     return {
-        "dq_required_columns": lambda s, sf: dq.dq_required_columns(_raw(s, sf), RAW_COLUMNS),
+        "dq_required_columns": _column_presence,
         "dq_bad_timestamp_ratio": lambda s, sf: dq.dq_bad_timestamp_ratio(_raw(s, sf)),
         "dq_silver_duplicates": lambda s, sf: dq.dq_silver_duplicates(_silver(s, sf)),
         "dq_feature_duplicates": lambda s, sf: dq.dq_feature_duplicates(
@@ -224,8 +238,6 @@ def dq_queries() -> dict[str, Query]:
 
 # --- propensity: preparation, metrics, policies -------------------------------------------------------------------
 HORIZON, LOOKBACK, BUDGET, COST = 30, 90, 1000.0, 5.0
-# Boosting rounds of the registered model queries; the operators default to 300 and 200.
-ROUNDS = 10
 REVENUE = f"predicted_conditional_revenue_{HORIZON}d"
 
 
@@ -391,7 +403,7 @@ def _base_model(name: str, rounds: int | None = None) -> Query:
 
 def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
     fit, score, _ = _fit_and_score(spark, sf)
-    return models.calibrated_scores(fit, score, "boosted_trees", LOOKBACK, max_iter=ROUNDS).select(
+    return models.calibrated_scores(fit, score, "boosted_trees", LOOKBACK).select(
         "user_id", "as_of_date", "propensity_score"
     )
 
@@ -406,7 +418,7 @@ def _stage(function) -> Query:
 
 def _conditional_revenue(spark: SparkSession, sf: str) -> DataFrame:
     fit, score, _ = _fit_and_score(spark, sf)
-    return models.conditional_revenue(fit, score, LOOKBACK, max_iter=ROUNDS).select(
+    return models.conditional_revenue(fit, score, LOOKBACK).select(
         "user_id", "as_of_date", "predicted_conditional_revenue"
     )
 
@@ -420,7 +432,7 @@ def _batch_score_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     fit = prep.apply_spend_cap(fit, LOOKBACK, cap)
     folder = scratch_path(spark, "model")
     models.fit_calibrated(fit, "logistic_regression", LOOKBACK).save(f"{folder}/propensity")
-    models.fit_conditional_revenue(fit, LOOKBACK, max_iter=ROUNDS).save(f"{folder}/revenue")
+    models.fit_conditional_revenue(fit, LOOKBACK).save(f"{folder}/revenue")
     propensity = models.CalibratedPropensity.load(spark, f"{folder}/propensity")
     revenue = models.ConditionalRevenue.load(spark, f"{folder}/revenue")
     snapshot = features.user_features_asof(clean, [PANEL[-1]])
@@ -441,15 +453,13 @@ def _train_metrics_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _window_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.window_sweep(
-        cut_lineage(_panel(spark, sf)), sensitivity.trained_scorers(("logistic_regression",))
-    )
+    return sensitivity.window_sweep(cut_lineage(_panel(spark, sf)), sensitivity.trained_scorers())
 
 
 def model_queries() -> dict[str, Query]:
     return {
         "propensity_logistic": _base_model("logistic_regression"),
-        "propensity_gbt": _base_model("boosted_trees", ROUNDS),
+        "propensity_gbt": _base_model("boosted_trees"),
         "calibrated_scores": _calibrated,
         "fit_validation_stage": _stage(models.fit_validation_stage),
         "fit_test_stage": _stage(models.fit_test_stage),
@@ -461,8 +471,8 @@ def model_queries() -> dict[str, Query]:
 
 
 # --- recommender --------------------------------------------------------------------------------------------------
-# Vector width of the registered factor models; the operators default to 64.
-WIDTH = 16
+# Vector width of the factor models.
+COMPONENTS = 64
 
 
 def _gold(spark: SparkSession, sf: str) -> recommender.RecommenderGold:
@@ -529,39 +539,41 @@ def _embedding_search(search) -> Query:
 
 
 def _mf_factors(gold: recommender.RecommenderGold) -> DataFrame:
-    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
+    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, COMPONENTS)
     return users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), "vector").unionByName(
         items.select(F.lit("item").alias("side"), F.col("item_idx").alias("idx"), "vector")
     )
 
 
 def _learned_retriever(gold: recommender.RecommenderGold) -> DataFrame:
-    users, items = retrieval.learned_retriever(gold.pairs, WIDTH)
+    users, items = retrieval.learned_retriever(gold.pairs, COMPONENTS)
     return users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), "vector").unionByName(
         items.select(F.lit("item").alias("side"), F.col("item_idx").alias("idx"), "vector")
     )
 
 
 def _item_embedding_table(gold: recommender.RecommenderGold) -> DataFrame:
-    _, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
+    _, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, COMPONENTS)
     return retrieval.item_embedding_table(items, gold.item_index, "mf")
 
 
 def _topk_recommendations(gold: recommender.RecommenderGold) -> DataFrame:
-    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, WIDTH)
-    everyone = retrieval.with_zero_vectors(gold.user_index, users, WIDTH)
+    users, items = retrieval.mf_factors(_tfidf(gold), gold.n_users, gold.n_items, COMPONENTS)
+    everyone = retrieval.with_zero_vectors(gold.user_index, users, COMPONENTS)
     ranked = retrieval.embedding_top_k(everyone, items, gold.pairs, EVALUATION_K)
     return retrieval.topk_recommendations("mf", ranked, gold.user_index, gold.item_index)
 
 
 def _rank_candidates(gold: recommender.RecommenderGold) -> DataFrame:
-    """Ranks the items each user has bought in training by popularity: a pair table of known size."""
-    scored = gold.pairs.join(_popularity(gold).select("item_idx", "score"), "item_idx")
+    """Ranks unseen items: the twice as long popularity lists, scored anew by the number of distinct buyers."""
+    pool = retrieval.popularity_top_k(_popularity(gold), gold.user_index, gold.pairs, 2 * EVALUATION_K)
+    buyers = _popularity(gold, distinct_users=True).select("item_idx", "score")
+    scored = pool.select("user_idx", "item_idx").join(buyers, "item_idx")
     return rounded(ranking.rank_candidates(scored).select("user_idx", "item_idx", "rank", "score"))
 
 
 def _retriever_sweep(gold: recommender.RecommenderGold) -> DataFrame:
-    base = {"rank": WIDTH, "max_iter": 10}
+    base = {"rank": COMPONENTS, "max_iter": 10}
     return ranking.retriever_sweep(gold.pairs, recommender.held_out(gold), gold.user_index, gold.n_items, base)
 
 
@@ -609,13 +621,12 @@ def _propensity_run(spark: SparkSession, sf: str) -> propensity.PropensityRun:
         lookback=LOOKBACK,
         budget=BUDGET,
         cost=COST,
-        revenue_iter=ROUNDS,
     )
 
 
 def _recommender_run(spark: SparkSession, sf: str) -> recommender.RecommenderRun:
     clean = cut_lineage(_silver(spark, sf))
-    return recommender.recommender_pipeline(clean, INTERACTIONS_FROM, INTERACTIONS_TO, EVALUATION_K, WIDTH, WIDTH)
+    return recommender.recommender_pipeline(clean, INTERACTIONS_FROM, INTERACTIONS_TO, EVALUATION_K, COMPONENTS, COMPONENTS)
 
 
 def _stand_in_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -628,8 +639,24 @@ def _stand_in_checks(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate_propensity_outputs("logistic_regression", table, *compared)
 
 
+def _serving_scores_csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Serving scores of the test slice as written: stand-in scores, so that the result is exact."""
+    path = scratch_path(spark, "serving")
+    writers.serving_scores_csv_sink(_test_slice(spark, sf), path, HORIZON)
+    doubles = ", ".join(f"{name} double" for name in ("propensity_score", REVENUE, "expected_value_score"))
+    return spark.read.schema(f"user_id string, as_of_date string, {doubles}").options(header=True, escape='"').csv(path)
+
+
+def _sensitivity_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep of both models, the frozen choice, the chosen model trained and compared: its gates, sweep rule included."""
+    return propensity.propensity_pipeline(
+        cut_lineage(_silver(spark, sf)), PANEL_END, mode="sensitivity", budget=BUDGET, cost=COST
+    ).checks
+
+
 def pipeline_queries() -> dict[str, Query]:
     return {
+        "serving_scores_csv_sink": _serving_scores_csv_sink,
         "validate_propensity_outputs": _stand_in_checks,
         "validate_recommender_outputs": lambda s, sf: _recommender_run(s, sf).checks,
         "propensity_pipeline": lambda s, sf: writers.predictions_table(_propensity_run(s, sf).scored_test, HORIZON),

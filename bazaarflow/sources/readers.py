@@ -11,8 +11,13 @@ from bazaarflow.schemas import RAW_COLUMNS, RAW_SCHEMA, require_columns
 
 
 def raw_csv_source(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV as text columns. No inference pass: typing is the silver step's work."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
+    """Header CSV as text columns, quotes doubled as the CSV standard has it. Typing is the silver step's work.
+
+    A quoted field may hold line ends, so a file is read by one task: deliver large extracts as many files. A row with
+    too few or too many fields fails the read.
+    """
+    options = {"header": True, "multiLine": True, "enforceSchema": False, "escape": '"', "mode": "FAILFAST"}
+    reader = spark.read.options(**options)
     header = reader.csv(path).columns if path else []
     missing = sorted(set(RAW_COLUMNS) - set(header))
     if missing:
@@ -49,6 +54,11 @@ TABLE_SCHEMAS = {
 }
 
 
+def required_columns(name: str) -> list[str]:
+    """Columns of an order table that the adapter reads."""
+    return [part.split()[0] for part in TABLE_SCHEMAS[name].split(", ")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
