@@ -41,13 +41,9 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(df: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner", weight: Column | None = None) -> DataFrame:
-    """Join ``table`` (frozen, one row per key) to ``df``. Copied to the executors only if it is counted to be small.
-
-    ``weight`` is what a row counts besides itself, such as the size of an array in it.
-    """
-    rows = table.count() if weight is None else table.agg(F.count(F.lit(1)) + F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge"), key, how)
+def attach(df: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``table`` (frozen, one short row per key) to ``df``. Copied to the executors only if counted to be small."""
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge"), key, how)
 
 
 def text_key(text: Column) -> list[Column]:

@@ -150,7 +150,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = freeze(removed_lines(plain), "line-cuts")
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_doc"), *text_key(F.col("text").cast("string")))
-    joined = attach(keyed, cuts, ["_doc", "_t1", "_t2"], "left", weight=F.size("removed"))
+    # The lists follow the corpus: both sides are shuffled at every size.
+    joined = keyed.join(cuts.hint("merge"), ["_doc", "_t1", "_t2"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     text = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
