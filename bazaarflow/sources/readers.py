@@ -14,9 +14,9 @@ def raw_csv_source(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV as text columns, quotes doubled as the CSV standard has it. Typing is the silver step's work.
 
     A quoted field may hold line ends, so a file is read by one task: deliver large extracts as many files. A row with
-    too few or too many fields fails the read.
+    too few or too many fields fails the read. An empty field is NULL, a quoted empty one the empty text.
     """
-    options = {"header": True, "multiLine": True, "enforceSchema": False, "escape": '"', "mode": "FAILFAST"}
+    options = {"header": True, "multiLine": True, "enforceSchema": False, "escape": '"', "nullValue": "\x00", "mode": "FAILFAST"}
     reader = spark.read.options(**options)
     header = reader.csv(path).columns if path else []
     missing = sorted(set(RAW_COLUMNS) - set(header))

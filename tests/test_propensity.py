@@ -207,11 +207,15 @@ def test_one_class_is_rejected(model_rows):
         models.fit_base_model("forest", model_rows, 90)
 
 
-def test_failed_combination_becomes_a_row(spark, model_rows):
+def test_one_class_becomes_a_row_and_other_failures_stop_the_sweep(spark, model_rows):
     panel = model_rows.selectExpr("*", "purchase_label AS label_purchase_30d", "revenue_label AS label_net_revenue_30d").drop("purchase_label", "revenue_label", "slice")
 
     def breaks(fit, score, lookback):
         raise RuntimeError("no model")
 
-    sweep = sensitivity.window_sweep(panel, {"logistic_regression": breaks}, horizons=(30,), lookbacks=(90,)).collect()
-    assert {(r.status, r.average_precision) for r in sweep} == {("invalid", 0.0)} and "no model" in sweep[0].error
+    one_class = panel.filter("label_purchase_30d = 0")
+    row = sensitivity.window_sweep(one_class, {"logistic_regression": breaks}, horizons=(30,), lookbacks=(90,)).first()
+    assert (row.status, row.average_precision) == ("invalid", 0.0) and "contrast" in row.error
+
+    with pytest.raises(RuntimeError, match="no model"):
+        sensitivity.window_sweep(panel, {"logistic_regression": breaks}, horizons=(30,), lookbacks=(90,))

@@ -42,15 +42,11 @@ def triples(df):
     return {(r.user_idx, r["rank"], r.item_idx) for r in df.collect()}
 
 
-def test_exact_search_with_copied_items(vectors):
-    frames, expected = vectors
-    assert triples(retrieval.embedding_top_k(*frames, 10)) == expected
-
-
 def test_exact_search_in_blocks(vectors):
     frames, expected = vectors
-    got = retrieval.embedding_top_k(*frames, 10, broadcast_bytes=0, items_per_block=16, users_per_block=25)
-    assert triples(got) == expected
+    assert triples(retrieval.embedding_top_k(*frames, 10)) == expected
+    dim = len(frames[1].first().vector)
+    assert triples(retrieval.embedding_top_k(*frames, 10, block_bytes=16 * 8 * dim)) == expected
 
 
 def test_scores_in_small_steps(vectors, monkeypatch):
@@ -66,10 +62,46 @@ def test_scores_in_small_steps(vectors, monkeypatch):
 
 def test_approximate_search_finds_most_and_probing_all_finds_everything(vectors):
     frames, expected = vectors
-    found = triples(retrieval.approx_top_k(*frames, 10, probes=4, items_per_block=5))
+    dim = len(frames[1].first().vector)
+    found = triples(retrieval.approx_top_k(*frames, 10, probes=4, block_bytes=5 * 8 * dim))
     overlap = {(u, i) for u, _, i in found} & {(u, i) for u, _, i in expected}
     assert len(overlap) > 0.6 * len(expected)
-    assert triples(retrieval.approx_top_k(*frames, 10, probes=90, users_per_block=20)) == expected
+    assert triples(retrieval.approx_top_k(*frames, 10, probes=90, block_bytes=20 * 8 * dim)) == expected
+
+
+def test_approximate_lists_are_as_long_as_exact_ones(spark):
+    """One far cluster of a few items: a user next to it still gets a full list."""
+    rng = np.random.default_rng(4)
+    near, far = rng.normal(0, 0.01, (6, 4)) + 5, rng.normal(0, 0.01, (394, 4)) - 5
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack((near, far)))], VECTOR_ITEMS)
+    users = spark.createDataFrame([(0, [5.0] * 4), (1, [-5.0] * 4)], "user_idx bigint, vector array<double>")
+    seen = spark.createDataFrame([(0, i) for i in range(10, 390)] + [(1, 0)], PAIRS)
+    lists = triples(retrieval.approx_top_k(users, items, seen, 20, probes=1))
+    assert [sum(u == user for u, _, _ in lists) for user in (0, 1)] == [20, 20]
+    assert not {(0, i) for i in range(10, 390)} & {(u, i) for u, _, i in lists}
+
+
+def test_popularity_lists_of_a_user_who_has_seen_nearly_everything(spark):
+    scores = spark.createDataFrame([(i, float(500 - i)) for i in range(500)], "item_idx bigint, score double")
+    users = spark.createDataFrame([(0,), (1,), (2,)], "user_idx bigint")
+    seen = spark.createDataFrame([(0, i) for i in range(500) if i % 50 != 7] + [(1, 0), (1, 2), (1, 2)], PAIRS)
+    frame = retrieval.popularity_top_k(scores, users, seen, 5)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "array_except" not in plan
+    assert triples(frame) == {(u, r + 1, i) for u, own in ((0, [7, 57, 107, 157, 207]), (1, [1, 3, 4, 5, 6]), (2, range(5))) for r, i in enumerate(own)}
+
+
+def test_stray_split_names_are_ignored(spark):
+    rows = [("u", name, "i") for name in ("train", "val", "test", "a", "b", "c", "d", "e")]
+    frame = spark.createDataFrame(rows, "user_id string, split string, item_id string")
+    assert retrieval.split_interactions(frame).count() == 3
+    with pytest.raises(ValueError, match="val"):
+        retrieval.split_interactions(frame.filter("split <> 'val'"))
+
+
+def test_factor_ids_beyond_the_solver_are_refused(spark):
+    with pytest.raises(ValueError, match="32-bit"):
+        retrieval.learned_retriever(spark.createDataFrame([(2**31, 0)], PAIRS))
 
 
 def test_dot_products_and_unit_rows(vectors):

@@ -48,13 +48,11 @@ def test_quantile_of_nothing_is_null(numbers):
     assert scale.exact_quantile(numbers.limit(0), "v", 0.5, "x").first().x is None
 
 
-def test_top_rows_long_and_short_lists_agree(numbers, monkeypatch):
-    order = [F.desc("v"), F.asc("id")]
-    short = sorted(map(tuple, scale.top_rows(numbers, order, 500).collect()))
-    monkeypatch.setattr(scale, "TOP_K_MERGE_LIMIT", 10)
-    assert sorted(map(tuple, scale.top_rows(numbers, order, 500).collect())) == short
-    expected = sorted(((r.v, r.id) for r in numbers.collect()), key=lambda t: (-t[0], t[1]))[:500]
-    assert sorted((i, v) for v, i in expected) == short
+@pytest.mark.parametrize("k", [3, 500])
+def test_top_rows_are_the_first_of_the_order(numbers, k):
+    got = sorted(map(tuple, scale.top_rows(numbers, [F.desc("v"), F.asc("id")], k).collect()))
+    expected = sorted(((r.v, r.id) for r in numbers.collect()), key=lambda t: (-t[0], t[1]))[:k]
+    assert sorted((i, v) for v, i in expected) == got
 
 
 def test_rank_within_matches_a_window(numbers):

@@ -115,3 +115,20 @@ def test_panel_reader_prunes_and_rejects_empty(spark, tmp_path):
         readers.read_panel(spark, path, ["2021-01-01"])
     with pytest.raises(ValueError):
         readers.read_panel(spark, path, [])
+
+
+def test_csv_round_trip_of_quotes_commas_newlines_and_blanks(spark, tmp_path):
+    texts = ['12" RULER, RED', "two\nlines", ' "quoted" ', "", None, "back\\slash", "a,b"]
+    columns = ", ".join(f"`{name}` string" for name in RAW_COLUMNS)
+    rows = spark.createDataFrame([(str(i), "s", t, "1", "2011-01-01 00:00:00", "1.0", "5", "X") for i, t in enumerate(texts)], columns)
+    path = f"file://{tmp_path}/lines"
+    rows.write.parquet(f"{path}-parquet")
+    writers.parquet_to_csv_export(spark, f"{path}-parquet", path)
+    back = {r.Invoice: r.Description for r in readers.raw_csv_source(spark, path).collect()}
+    assert back == {str(i): t for i, t in enumerate(texts)}
+
+
+def test_csv_rows_with_missing_fields_fail(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text(",".join(RAW_COLUMNS) + "\n1,2,3\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        readers.raw_csv_source(spark, f"file://{tmp_path}/bad.csv").collect()
