@@ -657,6 +657,7 @@ def _sensitivity_run(spark: SparkSession, sf: str) -> DataFrame:
 def pipeline_queries() -> dict[str, Query]:
     return {
         "serving_scores_csv_sink": _serving_scores_csv_sink,
+        "propensity_sensitivity_run": _sensitivity_run,
         "validate_propensity_outputs": _stand_in_checks,
         "validate_recommender_outputs": lambda s, sf: _recommender_run(s, sf).checks,
         "propensity_pipeline": lambda s, sf: writers.predictions_table(_propensity_run(s, sf).scored_test, HORIZON),
