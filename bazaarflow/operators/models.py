@@ -175,7 +175,7 @@ def fit_calibrated(
 
     try:
         with ThreadPool(folds) as pool:
-            return CalibratedPropensity(model, lookback, pool.map(inheritable_thread_target(fit_fold), range(folds)))
+            return CalibratedPropensity(model, lookback, pool.map(inheritable_thread_target(placed.sparkSession)(fit_fold), range(folds)))
     finally:
         placed.unpersist()
 
