@@ -88,17 +88,25 @@ def _signed(pairs: DataFrame) -> DataFrame:
     return pairs.select(*rest, F.inline(F.concat(side("one", 1), side("other", -1))))
 
 
+def _failed_pairs(versions: DataFrame, failed: DataFrame, both: Column) -> DataFrame:
+    """The pairs to be tried again. The join leaves the rows where the aggregates need them, at every size."""
+    again = failed.groupBy("_bucket", "_no").agg(F.collect_set("pair").alias("again")).hint("merge")
+    pairs = versions.join(again, ["_bucket", "_no"]).select("_bucket", "_no", "again", F.inline(both))
+    return pairs.filter(F.array_contains("again", F.col("pair"))).drop("again")
+
+
 def compared(versions: DataFrame) -> DataFrame:
     """``_bucket, _no, pair, lost, gained`` for the pairs of every row of ``versions`` that differ at all."""
     both = F.array(*(F.struct(F.lit(name).alias("pair"), F.col("digests").alias("one"), F.col(digests).alias("other")) for name, digests in SIDES.items()))
     # All groups below lie inside one row of versions: one exchange of the rows serves every aggregate.
-    pairs = versions.repartition("_bucket", "_no").select("_bucket", "_no", F.inline(both))
+    row = ["_bucket", "_no"]
+    pairs = versions.repartition(*row).select(*row, F.inline(both))
     found = freeze(_peeled(_added(_signed(pairs), PAIR, WIDTH), PAIR, WIDTH), "peeled")
     done = [found.filter("not failed")]
     failed = found.filter("failed").select(*PAIR)
     for attempt in range(3):
         width = WIDTH << attempt
-        again = pairs.join(failed, PAIR, "left_semi")
+        again = _failed_pairs(versions, failed, both)
         segments = F.ceil((F.size("one") + F.size("other")) / SEGMENT_DIGESTS).cast("bigint")
         signed = _signed(again.withColumn("segments", segments))
         dealt = signed.withColumn("segment", F.pmod(F.xxhash64("digest", F.lit("segment")), F.col("segments")))
@@ -111,7 +119,7 @@ def compared(versions: DataFrame) -> DataFrame:
         if failed.isEmpty():
             break
     else:
-        rest = pairs.join(failed, PAIR, "left_semi")
+        rest = _failed_pairs(versions, failed, both)
         sizes = [F.size(F.array_except(a, b)).cast("bigint").alias(name) for a, b, name in (("one", "other", "lost"), ("other", "one", "gained"))]
         done.append(rest.select(*PAIR, *sizes))
     out = done[0].select(*PAIR, "lost", "gained")
