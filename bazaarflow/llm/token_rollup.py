@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,6 @@ def counted(docs: DataFrame, version: str, tokens: Callable[[Column], Column] |
 
 def bpe_counter(path: str) -> Callable[[Column], Column]:
     """Counter for a tokenizers file at ``path``, which every executor must be able to read; Arrow batches, no row loop."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
