@@ -21,8 +21,8 @@ from bazaarflow.functions.scale import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of (id) or (id, small value) that may be sent to every executor; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-# Bytes of text hashed at a time; the arrays of one piece stay below a few hundred MB whatever the text length.
-PIECE = 1 << 21
+# Bytes of text handled at a time; the arrays of one piece stay below some tens of MB whatever the text length.
+PIECE = 1 << 19
 
 U64 = np.uint64
 BASE, GRAM = U64(0x9E3779B97F4A7C15 | 1), U64(0xD6E8FEB86659FD93)
@@ -169,6 +169,8 @@ def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out
+                # Freed blocks go back to the system: workers live on for the next stage.
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
