@@ -54,6 +54,52 @@ long AS (
 SELECT source, lang, version, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM long GROUP BY ALL
 """
 
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+# Shingles are compared as texts; the pairs that share enough of them are followed to the smallest reachable document.
+NEAR_COPIES = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM docs WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM docs UNION SELECT d, b FROM reach JOIN ways ON a = r),
+least AS (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY d),
+classes AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY words) END AS class_id FROM docs)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept, class_id
+FROM least JOIN classes USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+PASSAGES = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50)
+),
+owned AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY content) AS owner FROM windows) WHERE owner < doc_id),
+each AS (SELECT doc_id, words[i] AS word, i FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs)),
+covered AS (
+  SELECT e.doc_id, e.word, e.i, max(o.i) OVER (PARTITION BY e.doc_id ORDER BY e.i) AS last FROM each e LEFT JOIN owned o ON o.doc_id = e.doc_id AND o.i = e.i
+),
+left_over AS (
+  SELECT doc_id, count(*) FILTER (i - last <= 49) AS n_removed,
+    string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR i - last > 49) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)
+"""
+
 
 def all_statements() -> dict[str, str]:
-    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES}
