@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, on DataFrame functions only.
 
-Lines are compared without blanks at their ends. A line goes if an earlier line (by doc_id, then line
+Lines are compared without blanks at their ends, in lower case if ``fold_case`` is set. A line goes if an earlier line (by doc_id, then line
 number) is within one edit: equal, one character replaced, or one character more or less. Lines under ``MIN_CHARS``
 characters take no part: short lines are equal by chance.
 
@@ -25,15 +25,16 @@ MIN_CHARS, BLOCK, MOST_BLOCKS, ENDS = 20, 64, 256, 32
 LAST = (1 << 63) - 1
 
 
-def normalized(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+def normalized(line: Column, fold_case: bool = False) -> Column:
+    trimmed = F.btrim(line, F.lit(" \t\r"))
+    return F.lower(trimmed) if fold_case else trimmed
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, fold_case: bool = False) -> DataFrame:
     """Long enough lines: document and text key, number, ``pos`` (order of doc_id, then number), 128-bit hash."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), *text_key(F.col("text")), "text")
     lines = keyed.select("_doc", "_t1", "_t2", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("_doc", "_t1", "_t2", "line_no", normalized(F.col("raw")).alias("line"))
+    lines = lines.select("_doc", "_t1", "_t2", "line_no", normalized(F.col("raw"), fold_case).alias("line"))
     # One number instead of a struct: its minimum is kept in a hash aggregate.
     pos = F.col("_doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     return lines.select(
@@ -118,12 +119,12 @@ def _later_near_lines(lines: DataFrame) -> DataFrame:
     return both.filter(F.levenshtein("block", "its_block", 1) >= 0).select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, fold_case: bool = False) -> DataFrame:
     """``_doc, _t1, _t2, removed``: the numbers (from 0) of the lines that go, for documents that lose any.
 
     The documents are read twice: to count the keys, and to fetch the lines whose keys are shared. All else works on these.
     """
-    probes = _probes(_lines(docs))
+    probes = _probes(_lines(docs, fold_case))
     counted = probes.groupBy("near", "k1", "k2").agg(
         F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("h1").alias("low"), F.max("h1").alias("high")
     )
@@ -139,16 +140,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return copies.unionByName(near).groupBy("_doc", "_t1", "_t2").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, fold_case: bool = False) -> DataFrame:
     """All columns of ``docs`` with the lines removed from ``text``, and ``n_lines``, ``removed`` (numbers from 0).
 
     Texts that lose nothing stay as they are, NULL included (0 lines; an empty text has one empty line). Rows with a
     NULL doc_id come last in the order. Rows that repeat doc_id and text are one document and lose the same lines.
-    Columns named ``n_lines`` or ``removed`` are replaced, other columns pass through.
+    Columns named ``n_lines`` or ``removed`` are replaced, other columns pass through. With ``fold_case`` lines that
+    differ in the case of letters only are equal; the text that is kept keeps its case.
     """
     docs = docs.drop("n_lines", "removed")
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = freeze(removed_lines(plain), "line-cuts")
+    cuts = freeze(removed_lines(plain, fold_case), "line-cuts")
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_doc"), *text_key(F.col("text").cast("string")))
     # The lists follow the corpus: both sides are shuffled at every size.
     joined = keyed.join(cuts.hint("merge"), ["_doc", "_t1", "_t2"], "left")

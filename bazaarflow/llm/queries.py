@@ -49,7 +49,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs).select(
+    return line_dedup.line_dedup(docs, fold_case=True).select(
         "doc_id",
         F.col("n_lines").cast("bigint").alias("n_lines"),
         F.size("removed").cast("bigint").alias("n_removed"),

@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, and documents that lose all of their lines; ``n_chars`` follows the text."""
-    left = line_dedup.line_dedup(docs).filter((F.size("removed") == 0) | (F.size("removed") < F.col("n_lines")))
+    """Lines that repeat an earlier line in whatever case go, and documents that lose all of their lines; ``n_chars`` follows the text."""
+    left = line_dedup.line_dedup(docs, fold_case=True).filter((F.size("removed") == 0) | (F.size("removed") < F.col("n_lines")))
     columns = [F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return left.select(*columns)
 

@@ -134,6 +134,28 @@ def test_repeated_rows_lose_the_same_lines(spark):
     assert Counter((r.doc_id, tuple(r.removed)) for r in got) == Counter({(1, ()): 1, (2, (0,)): 2, (None, (0,)): 1})
 
 
+def test_lines_meet_in_whatever_case(spark, tmp_path):
+    """A banner in capitals and a heading in title case go, one edit included, from op4 and from the pipeline's stage."""
+    import corpus_pipeline
+
+    from bazaarflow.llm import queries
+
+    line = "this is a line that many documents share"
+    own = [(1, line), (2, f"{line.upper()}\nKept AS It Stands here"), (3, line.title()), (4, line.title().replace("Many", "Mony")), (5, "A line OF its own Stands Here")]
+    frame = spark.createDataFrame(own, "doc_id bigint, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.removed for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: "", 2: "0", 3: "0", 4: "0", 5: ""}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, frame, str(tmp_path)).collect()}
+    assert left == {1: line, 2: "Kept AS It Stands here", 5: own[4][1]}
+    rows = [r for r in ROWS if r[1] is None or len(r[1]) < 1000]
+    folded = line_dedup.line_dedup(corpus.frame(spark, rows, repeat=False), fold_case=True).collect()
+    lines = [(i, n, line.strip(" \t\r").lower()) for i, t, *_ in rows if t is not None for n, line in enumerate(t.split("\n"))]
+    lines = sorted(x for x in lines if len(x[2]) >= line_dedup.MIN_CHARS)
+    gone = {(i, n) for at, (i, n, line) in enumerate(lines) if any(_near(line, earlier) for _, _, earlier in lines[:at])}
+    assert {(r.doc_id, n) for r in folded for n in r.removed} == gone and len(gone) >= 9
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 def test_secret_base_matches_plain_scan(docs):
     expected = brute.secrets(PAIRS)
