@@ -120,18 +120,18 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     )
 
 
-def covered(places: np.ndarray, n_words: int) -> np.ndarray:
-    """Mask of the words inside the windows that start at ``places``."""
+def covered(begins: np.ndarray, ends: np.ndarray, n_words: int) -> np.ndarray:
+    """Mask of the words inside the intervals."""
     steps = np.zeros(n_words + 1, np.int64)
-    np.add.at(steps, places, 1)
-    np.add.at(steps, np.minimum(places + WINDOW, n_words), -1)
+    np.add.at(steps, begins, 1)
+    np.add.at(steps, np.minimum(ends, n_words), -1)
     return np.cumsum(steps[:-1]) > 0
 
 
 def _remove(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts, places = batch.column("text"), batch.column("places")
+    texts, begins, ends = batch.column("text"), batch.column("begins"), batch.column("ends")
     counts = batch.column("n_words").to_numpy()
-    masks = [covered(places[i].values.to_numpy(), int(counts[i])) for i in range(batch.num_rows)]
+    masks = [covered(begins[i].values.to_numpy(), ends[i].values.to_numpy(), int(counts[i])) for i in range(batch.num_rows)]
     kept = kept_texts(texts, masks)
     spans = []
     for mask in masks:
@@ -173,16 +173,20 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("seed"), "seeds"
     )
     marked = freeze(attach(seeds, shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("shared")), "marked")
-    texts = attach(docs, marked, "doc_id").dropDuplicates(["doc_id"])
+    # Lists of seeds and of intervals follow the texts: both sides are shuffled at every size.
+    texts = docs.join(marked.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     windows = freeze(map_text(texts.select("doc_id", "text", "shared"), _windows, "doc_id bigint, place int, h1 bigint, h2 bigint"), "windows")
     owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner <> last")
-    lost = windows.join(owners.drop("last"), ["h1", "h2"]).filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    lost = windows.join(owners.drop("last"), ["h1", "h2"]).filter("doc_id <> owner").groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    # Windows that touch or overlap are one interval.
+    begins = F.filter("places", lambda p, i: (i == 0) | (p > F.get("places", i - 1) + WINDOW))
+    ends = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.get("places", i + 1) > p + WINDOW))
+    parts = lost.select("doc_id", begins.alias("begins"), F.transform(ends, lambda p: p + WINDOW).alias("ends"))
     n_words = scanned.select("doc_id", "n_words").dropDuplicates(["doc_id"])
-    every = F.sequence(F.lit(0).cast("int"), (F.col("n_words") - WINDOW).cast("int"))
-    whole = copies.join(n_words, "doc_id").select("doc_id", every.alias("places"), "n_words")
-    losses = freeze(lost.join(n_words, "doc_id").select("doc_id", "places", "n_words").unionByName(whole), "losses")
+    whole = copies.join(n_words, "doc_id").select("doc_id", F.array(F.lit(0)).alias("begins"), F.array(F.col("n_words").cast("int")).alias("ends"), "n_words")
+    losses = freeze(parts.join(n_words, "doc_id").select("doc_id", "begins", "ends", "n_words").unionByName(whole), "losses")
     cut = map_text(
-        attach(docs, losses, "doc_id").select("doc_id", "text", "places", "n_words"),
+        docs.join(losses.hint("merge"), "doc_id").select("doc_id", "text", "begins", "ends", "n_words"),
         _remove,
         "doc_id bigint, n_removed bigint, kept_text string, kept_sha256 string, spans array<struct<start:int,end:int>>",
     )

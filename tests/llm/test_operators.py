@@ -76,6 +76,22 @@ def test_repeated_passages_match_every_window(docs):
     assert sum(n > 0 for _, n, _ in expected.values()) >= 15
 
 
+def test_lists_that_follow_the_texts_are_shuffled_and_short(spark, monkeypatch):
+    """The joins of whole texts have one plan at every size; a full copy and a long passage are carried as one interval."""
+    mapped, plain = [], substring_dedup.map_text
+    monkeypatch.setattr(substring_dedup, "map_text", lambda df, *rest: mapped.append(df) or plain(df, *rest))
+    words = [f"w{i}" for i in range(2000)]
+    passages = [*words[:300], "apart", *words[500:900]]
+    own = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(passages))]
+    _, cut = substring_dedup.repeated_passages(spark.createDataFrame(own, "doc_id bigint, text string"))
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in cut.collect()} == {2: [(0, 2000)], 3: [(0, 300), (301, 701)]}
+    for df in mapped[1:]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    carried = {r.doc_id: (r.begins, r.ends) for r in mapped[2].collect()}
+    assert carried == {2: ([0], [2000]), 3: ([0, 301], [300, 701])}
+
+
 def test_anchors_cover_every_window():
     seeds = np.random.default_rng(0).integers(0, 40, 500).astype(np.uint64)
     places = substring_dedup.anchor_places(seeds)
