@@ -565,11 +565,9 @@ def _topk_recommendations(gold: recommender.RecommenderGold) -> DataFrame:
 
 
 def _rank_candidates(gold: recommender.RecommenderGold) -> DataFrame:
-    """Ranks unseen items: the twice as long popularity lists, scored anew by the number of distinct buyers."""
-    pool = retrieval.popularity_top_k(_popularity(gold), gold.user_index, gold.pairs, 2 * EVALUATION_K)
-    buyers = _popularity(gold, distinct_users=True).select("item_idx", "score")
-    scored = pool.select("user_idx", "item_idx").join(buyers, "item_idx")
-    return rounded(ranking.rank_candidates(scored).select("user_idx", "item_idx", "rank", "score"))
+    """Ranks all unseen items by the number of distinct buyers; the lists hold each user's best of the whole pool."""
+    listed = _popular_lists(gold, distinct_users=True).select("user_idx", "item_idx", "score")
+    return rounded(ranking.rank_candidates(listed).select("user_idx", "item_idx", "rank", "score"))
 
 
 def _retriever_sweep(gold: recommender.RecommenderGold) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarflow.operators import ranking, retrieval, validate
+from bazaarflow.plans import recommender, registry
 
 PAIRS = "user_idx bigint, item_idx bigint"
 VECTOR_USERS, VECTOR_ITEMS = "user_idx bigint, vector array<double>", "item_idx bigint, vector array<double>"
@@ -145,6 +146,22 @@ def test_popularity_counts_rows_or_users(spark):
         retrieval.split_interactions(splits)
 
 
+def test_items_with_many_buyers_are_ranked_however_few_their_rows(spark):
+    """Fifty items bought again and again by one user each stand before, by rows, an item that many users bought once."""
+    rows = [(f"heavy{i}", f"item{i:02d}", "train") for i in range(50) for _ in range(9)] + [(f"light{i}", "wide", "train") for i in range(5)]
+    rows = spark.createDataFrame(rows, "user_id string, item_id string, split string")
+    names = {"user": sorted({r.user_id for r in rows.collect()}), "item": sorted({r.item_id for r in rows.collect()})}
+    users, items = (spark.createDataFrame([(x, i) for i, x in enumerate(names[n])], f"{n}_id string, {n}_idx bigint") for n in ("user", "item"))
+    gold = recommender.RecommenderGold(rows, users, items, retrieval.positive_pairs(rows, users, items), users.count(), items.count())
+    buyers = {r.item_id: r.n for r in rows.groupBy("item_id").agg(F.count_distinct("user_id").alias("n")).collect()}
+    seen = {(r.user_id, r.item_id) for r in rows.collect()}
+    expected = set()
+    for u, name in enumerate(names["user"]):
+        pool = sorted((-buyers[item], i) for i, item in enumerate(names["item"]) if (name, item) not in seen)
+        expected |= {(u, place, i) for place, (_, i) in enumerate(pool[:20], 1)}
+    assert triples(registry._rank_candidates(gold)) == expected
+
+
 def test_candidate_pool(spark):
     users = spark.createDataFrame([(0,), (1,)], "user_idx bigint")
     items = spark.createDataFrame([(i,) for i in range(4)], "item_idx bigint")
