@@ -622,9 +622,11 @@ def _propensity_run(spark: SparkSession, sf: str) -> propensity.PropensityRun:
     )
 
 
-def _recommender_run(spark: SparkSession, sf: str) -> recommender.RecommenderRun:
+def _recommender_run(spark: SparkSession, sf: str, **options) -> recommender.RecommenderRun:
     clean = cut_lineage(_silver(spark, sf))
-    return recommender.recommender_pipeline(clean, INTERACTIONS_FROM, INTERACTIONS_TO, EVALUATION_K, COMPONENTS, COMPONENTS)
+    return recommender.recommender_pipeline(
+        clean, INTERACTIONS_FROM, INTERACTIONS_TO, EVALUATION_K, COMPONENTS, COMPONENTS, **options
+    )
 
 
 def _stand_in_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -660,6 +662,11 @@ def pipeline_queries() -> dict[str, Query]:
         "validate_recommender_outputs": lambda s, sf: _recommender_run(s, sf).checks,
         "propensity_pipeline": lambda s, sf: writers.predictions_table(_propensity_run(s, sf).scored_test, HORIZON),
         "recommender_pipeline": lambda s, sf: _recommender_run(s, sf).topk,
+        "recommender_pipeline_approximate": lambda s, sf: _recommender_run(s, sf, approximate=True).topk,
+        "recommender_run_metrics": lambda s, sf: _recommender_run(s, sf).metrics,
+        "recommender_run_selected": lambda s, sf: _recommender_run(s, sf).selected,
+        "recommender_run_kpis": lambda s, sf: _recommender_run(s, sf).kpis,
+        "propensity_run_kpis": lambda s, sf: _propensity_run(s, sf).kpis,
         "interpretation_kpis": lambda s, sf: validate.interpretation_kpis(
             recommender=validate.recommender_kpis(
                 _on_gold(lambda g: ranking.random_recall_anchor(_popular_metrics(g), EVALUATION_K, g.n_items))(s, sf)

@@ -275,3 +275,12 @@ def test_recommender_gate(spark):
     }
     with pytest.raises(ValueError):
         validate.require_valid(broken)
+
+
+def test_registered_metrics_hold_the_real_retrievers(spark):
+    sf_dir, queries = "/root/testdata/sf0.001", registry.all_queries()
+    real = {(r.model_name, r.split): r.recall_at_20 for r in queries["recommender_run_metrics"](spark, sf_dir).collect()}
+    assert {name for name, _ in real} == {"popularity", "mf", "learned"} and len(real) == 6
+    stand_in = {(r.model_name, r.split): r.recall_at_20 for r in queries["model_metrics"](spark, sf_dir).collect()}
+    for split in ("validation", "test"):
+        assert real["popularity", split] == stand_in["popularity", split]
