@@ -101,5 +101,52 @@ FROM docs LEFT JOIN left_over USING (doc_id)
 """
 
 
+# CRC-32 of ``{text}``: the table of 256 remainders follows from the polynomial, bytes come from the hexadecimal form.
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS steps
+  FROM range(0, 256) bytes(i)
+)"""
+CRC = """xor(4294967295, list_reduce(list_transform(range(1, 2 * strlen({text}), 2), lambda k: ('0x' || substr(hex(encode({text})), k, 2))::BIGINT),
+  lambda c, b: xor(c // 256, crc.steps[1 + xor(c % 256, b)]), 4294967295))"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "{n}", "text")) + "))"
+# Levels are built bottom up for all languages at once, then for their roots; a second recursion climbs them.
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS (
+  SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf,
+    CASE WHEN {CRC.format(text="doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS altered
+  FROM documents, crc
+),
+groups AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree, count(*) AS n FROM docs GROUP BY lang),
+leaves AS (
+  SELECT d.*, g.tree, row_number() OVER (PARTITION BY g.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, g.n
+  FROM docs d JOIN groups g ON g.lang IS NOT DISTINCT FROM d.lang
+),
+lower_levels(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM lower_levels WHERE n > 1 GROUP BY tree, level, pos // 2, n
+),
+subroots AS (SELECT tree, h FROM lower_levels WHERE n = 1),
+upper_levels(tree, level, pos, h, n) AS (
+  SELECT 0::BIGINT, 0, tree - 1, h, count(*) OVER () FROM subroots
+  UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM upper_levels WHERE n > 1 GROUP BY tree, level, pos // 2, n
+),
+levels AS (SELECT * FROM lower_levels UNION ALL SELECT * FROM upper_levels),
+climb(doc_id, leaf, own, tree, level, pos, n, h, proof) AS (
+  SELECT doc_id, leaf, tree, tree, 0, pos, n, altered, '' FROM leaves
+  UNION ALL SELECT c.doc_id, c.leaf, c.own,
+    CASE WHEN c.n > 1 THEN c.tree ELSE 0 END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.pos // 2 ELSE c.own - 1 END,
+    CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE (SELECT count(*) FROM subroots) END,
+    CASE WHEN c.n = 1 THEN c.h WHEN c.pos % 2 = 1 THEN sha256(l.h || c.h) ELSE sha256(c.h || coalesce(l.h, '')) END,
+    c.proof || CASE WHEN c.n > 1 THEN coalesce(l.h, '') ELSE '' END
+  FROM climb c LEFT JOIN levels l ON l.tree = c.tree AND l.level = c.level AND l.pos = xor(c.pos, 1::BIGINT) WHERE c.n > 1 OR c.tree > 0
+)
+SELECT c.doc_id, c.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM climb c JOIN subroots s ON s.tree = c.own JOIN upper_levels r ON r.n = 1 WHERE c.tree = 0 AND c.n = 1
+"""
+
+
 def all_statements() -> dict[str, str]:
-    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES, "op13_merkle_manifest": MERKLE}

@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, iblt, line_dedup, minhash, permutation_index, quality, secret_scan, substring_dedup, token_rollup, unigram
+from bazaarflow.llm import cube_mix, iblt, line_dedup, merkle, minhash, permutation_index, quality, secret_scan, substring_dedup, token_rollup, unigram
 from bazaarflow.llm.common import freeze, read_table, text_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(docs))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.merkle_manifest(docs, tampered).select(
+        "doc_id",
+        *(merkle.hex_text(F.col(name)).alias(name) for name in ("leaf", "subroot", "root")),
+        F.sha2(merkle.hex_text(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.hex_text(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -114,4 +126,5 @@ def all_queries() -> dict[str, Query]:
         "op7_fingerprints": op7_fingerprints,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
