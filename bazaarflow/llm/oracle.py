@@ -175,5 +175,25 @@ SELECT f.word, f.form, w.reached AS root, f.n, f.n_near, f.form_n FROM forms f J
 """
 
 
+# Texts in hexadecimal form: two characters a byte.
+BYTE_STRINGS = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS code FROM documents),
+places AS (SELECT r, code, unnest(range(0, greatest(length(code) // 2 - 199, 0))) AS p FROM docs),
+windows AS (SELECT r, p, md5_number(substr(code, 2 * p + 1, 400)) AS content FROM places),
+repeated AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY content) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM repeated),
+runs AS (SELECT r, p, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+spans AS (SELECT r, min(p) AS low, max(p) + 200 AS high FROM runs GROUP BY r, run),
+gaps AS (SELECT r, high AS low, lead(low) OVER (PARTITION BY r ORDER BY low) AS high FROM spans UNION ALL SELECT r, 0, min(low) FROM spans GROUP BY r),
+kept AS (
+  SELECT g.r, string_agg(substr(code, 2 * low + 1, 2 * (coalesce(high, length(code) // 2) - low)), '' ORDER BY low) AS code
+  FROM gaps g JOIN docs USING (r) GROUP BY g.r
+),
+lost AS (SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, length(d.code) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.code, d.code))) AS kept_sha256
+FROM docs d LEFT JOIN lost USING (r) LEFT JOIN kept k USING (r)
+"""
+
+
 def all_statements() -> dict[str, str]:
-    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": MERKLE}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_line_dedup": LINE_DEDUP, "op5_near_dedup": NEAR_COPIES, "op8_substring_dedup": PASSAGES, "op11_spelling_variants": SPELLING, "op12_suffix_dedup": BYTE_STRINGS, "op13_merkle_manifest": MERKLE}

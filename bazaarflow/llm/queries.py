@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import cube_mix, iblt, line_dedup, merkle, minhash, permutation_index, quality, secret_scan, spelling, substring_dedup, token_rollup, unigram
+from bazaarflow.llm import cube_mix, iblt, line_dedup, merkle, minhash, permutation_index, quality, secret_scan, spelling, substring_dedup, suffix_dedup, token_rollup, unigram
 from bazaarflow.llm.common import freeze, read_table, text_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(*suffix_dedup.repeated_strings(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -131,5 +135,6 @@ def all_queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
