@@ -3,13 +3,13 @@
 A leaf is the SHA-256 of a row's named fields. The leaves of a group, in order, form a binary tree (a last node without
 partner is hashed alone); the groups' roots, in the order of their names, form another one on top.
 
-Levels are built ``SPAN`` at a time: one block of up to 64 neighbours per group and position. What is stored of them is
+Levels are built ``SPAN`` at a time: one block of up to 1,024 neighbours per group and position. What is stored of them is
 one row per node at every ``SPAN``-th level, linked to its parent of the next stored level and carrying the siblings on
 the way there; the root of a group carries the way through the upper tree. An audit climbs these links in a recursive
 query: each leaf starts with its (possibly tampered) hash, takes the parent's row at every step, appends the siblings it
 meets and folds its hash with them.
 
-A stored node is met by all leaves below it. From the third stored level on it is therefore kept once per ``CELL``
+A stored node is met by all leaves below it. From the second stored level on it is therefore kept once per ``CELL``
 leaves, and a leaf asks for the copy of its own cell: no key of the climb is met by more than ``CELL`` rows, and the
 copies are one row per ``CELL`` leaves and level.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from bazaarflow.functions.scale import rank_within, with_ordinal
 from bazaarflow.llm.common import freeze
 
-SPAN = 6
-CELL_BITS = 2 * SPAN
+SPAN = 10
+CELL_BITS = 12  # between SPAN and twice SPAN
 CELL = 1 << CELL_BITS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = "struct<before: binary, after: binary>"
@@ -45,10 +45,6 @@ def hex_text(digest: Column) -> Column:
     return F.lower(F.hex(digest))
 
 
-def _shifted(column: str, bits: Column, way: str = "shiftright") -> Column:
-    return F.call_function(way, F.col(column), bits)
-
-
 def _joined(before: Column, own: Column, after: Column) -> Column:
     """Hash of neighbours, in order; a missing one is left out."""
     parts = [F.coalesce(hex_text(part), F.lit("")) for part in (before, own, after)]
@@ -71,7 +67,7 @@ def height(count: Column) -> Column:
 
 def _climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One stored level up. ``nodes`` (tree, leaves, depth, pos, digest) get ``steps``, the siblings up to their parent;
-    the second table holds the parents. At most 64 nodes meet in one group."""
+    the second table holds the parents. At most 1,024 nodes meet in one group."""
     blocks = nodes.groupBy("tree", "leaves", "depth", F.shiftright("pos", SPAN).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "digest", "payload"))).alias("members")
     )
@@ -84,16 +80,19 @@ def _climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     levels = F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(SPAN)), F.lit(1), rise), first, lambda done, _: F.concat(done, F.array(above(F.element_at(done, -1)))))
     built = freeze(blocks.select("tree", "leaves", "depth", "block", "members", levels.alias("levels")), "merkle-blocks")
     parents = built.select("tree", "leaves", (F.col("depth") + 1).alias("depth"), F.col("block").alias("pos"), F.get(F.element_at("levels", -1), F.lit(0)).alias("digest"))
-    each = built.select("tree", "leaves", "depth", "levels", F.posexplode("members").alias("place", "member"))
-    way = F.transform(
-        F.sequence(F.lit(0), F.size("levels") - 2),
-        lambda k: F.struct(
-            F.when(_shifted("place", k) % 2 == 1, F.get(F.get(F.col("levels"), k), _shifted("place", k) - 1)).alias("before"),
-            F.when(_shifted("place", k) % 2 == 0, F.get(F.get(F.col("levels"), k), _shifted("place", k) + 1)).alias("after"),
-        ),
-    )
-    steps = F.when(F.size("levels") > 1, way).otherwise(F.array().cast(f"array<{STEP}>"))
-    return each.select("tree", "leaves", "depth", F.col("member.pos").alias("pos"), F.col("member.digest").alias("digest"), steps.alias("steps"), F.col("member.payload").alias("payload")), parents
+
+    def way(place: Column) -> Column:
+        """The siblings of the node at ``place``, level by level."""
+        at = lambda k: F.call_function("shiftright", place, k)
+        row = lambda k: F.get(F.col("levels"), k)
+        return F.transform(
+            F.sequence(F.lit(0), F.size("levels") - 2),
+            lambda k: F.struct(F.when(at(k) % 2 == 1, F.get(row(k), at(k) - 1)).alias("before"), F.when(at(k) % 2 == 0, F.get(row(k), at(k) + 1)).alias("after")),
+        )
+
+    # A tree of one leaf has no step and is not built, so there are two levels at least.
+    placed = F.transform("members", lambda m, i: F.struct(m["pos"].alias("pos"), m["digest"].alias("digest"), way(i).alias("steps"), m["payload"].alias("payload")))
+    return built.select("tree", "leaves", "depth", F.inline(placed)), parents
 
 
 def _stored(leaves: DataFrame, payload: list[str]) -> tuple[list[DataFrame], DataFrame]:
@@ -143,7 +142,7 @@ def _linked(levels: list[DataFrame], ways: DataFrame) -> DataFrame:
     # Shift that leads from a node to its cells; a node of the two lowest levels is one slot.
     shift = F.greatest(F.lit(0), F.lit(SPAN) * F.col("depth") - CELL_BITS)
     last = F.least(F.call_function("shiftleft", F.col("pos") + 1, shift), F.shiftright(F.col("leaves") + (CELL - 1), CELL_BITS)) - 1
-    slots = F.when(F.col("depth") < 2, F.array("pos")).otherwise(F.sequence(_shifted("pos", shift, "shiftleft"), last))
+    slots = F.when(F.col("depth") < 2, F.array("pos")).otherwise(F.sequence(F.call_function("shiftleft", F.col("pos"), shift), last))
     return rows.select("tree", "depth", F.explode(slots).alias("slot"), "parent_depth", "steps", "subroot", "root")
 
 
@@ -153,11 +152,12 @@ def _climb_sql(start: str, nodes: str) -> str:
 WITH RECURSIVE climb AS (
   SELECT tree, pos, doc_id, leaf, depth, proof, folded, CAST(NULL AS BINARY) AS subroot, CAST(NULL AS BINARY) AS root FROM {start}
   UNION ALL
-  SELECT c.tree, c.pos, c.doc_id, c.leaf, n.parent_depth AS depth,
+  SELECT /*+ MERGE(n) */ c.tree, c.pos, c.doc_id, c.leaf, n.parent_depth AS depth,
     concat(c.proof, aggregate(n.steps, CAST('' AS BINARY), (done, step) -> concat(done, coalesce(step.before, step.after, CAST('' AS BINARY))))) AS proof,
     aggregate(n.steps, c.folded, (digest, step) -> unhex(sha2({neighbours}, 256))) AS folded, n.subroot, n.root
   FROM climb c JOIN {nodes} n
     ON n.tree = c.tree AND n.depth = c.depth AND n.slot = shiftright(c.pos, least({SPAN} * c.depth, {CELL_BITS}))
+  WHERE c.depth < {ABOVE}
 )
 SELECT doc_id, leaf, subroot, root, proof, folded FROM climb WHERE depth = {ABOVE}"""
 
