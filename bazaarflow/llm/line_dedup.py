@@ -16,6 +16,8 @@ group's earliest line, and the pair's edit distance is verified on the block tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,46 +25,62 @@ from bazaarflow.llm.common import attach, freeze, text_key
 
 MIN_CHARS, BLOCK, MOST_BLOCKS, ENDS = 20, 64, 256, 32
 LAST = (1 << 63) - 1
+BLANKS = " \t\r"
 
 
 def normalized(line: Column, fold_case: bool = False) -> Column:
-    trimmed = F.btrim(line, F.lit(" \t\r"))
+    blank = reduce(lambda a, b: a | b, (end(c) for end in (line.startswith, line.endswith) for c in BLANKS))
+    # Trimming looks at every character, its condition at the two ends.
+    trimmed = F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line)
     return F.lower(trimmed) if fold_case else trimmed
 
 
 def _lines(docs: DataFrame, fold_case: bool = False) -> DataFrame:
     """Long enough lines: document and text key, number, ``pos`` (order of doc_id, then number), 128-bit hash."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), *text_key(F.col("text")), "text")
-    lines = keyed.select("_doc", "_t1", "_t2", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("_doc", "_t1", "_t2", "line_no", normalized(F.col("raw"), fold_case).alias("line"))
+    # Normalized inside the list: a column on top of it would be evaluated once more for the filter on its length.
+    split = F.transform(F.split("text", "\n", -1), lambda line: normalized(line, fold_case))
+    lines = keyed.select("_doc", "_t1", "_t2", F.posexplode(split).alias("line_no", "line")).filter(F.length("line") >= MIN_CHARS)
     # One number instead of a struct: its minimum is kept in a hash aggregate.
     pos = F.col("_doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     return lines.select(
         "_doc", "_t1", "_t2", "line_no", pos.cast("decimal(32,0)").alias("pos"), "line", F.length("line").alias("chars"),
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"),
-    ).filter(F.col("chars") >= MIN_CHARS)
+    )
+
 
+def _block_size(length: Column) -> Column:
+    """Characters of a block: two blocks at least, ``MOST_BLOCKS`` at most."""
+    return F.greatest(F.least(F.lit(BLOCK), F.ceil(length / 2)), F.ceil(length / MOST_BLOCKS)).cast("string")
 
-def _blocks(length: Column) -> Column:
-    return F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(2), F.ceil(length / BLOCK))).cast("int")
+
+def _prefixes(pieces: Column) -> Column:
+    """Combined hash of the first 0, 1, 2, ... pieces, each hashed with its number."""
+    hashes = F.transform(pieces, lambda piece, i: F.xxhash64(i, piece))
+    return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda done, h: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(h))))
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
-    """Keys of each line without each block: of the line as it is, then as if it had one character less (``longer``)."""
-    counted = lines.select("pos", "h1", "h2", "line", "chars", _blocks(F.col("chars")).alias("own"), _blocks(F.col("chars") - 1).alias("less"))
-    views = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("own") + F.col("less") - 1)).alias("view"))
-    longer = F.col("view") >= F.col("own")
-    views = views.select(
-        "pos", "h1", "h2", "line", "chars", longer.alias("longer"),
-        F.when(longer, F.col("view") - F.col("own")).otherwise(F.col("view")).alias("number"),
-        F.when(longer, F.col("less")).otherwise(F.col("own")).alias("blocks"),
-        (F.col("chars") - longer.cast("int")).alias("length"),
+    """Keys of each line without each block: of the line as it is, then as if it had one character less (``longer``).
+
+    A line is cut in one go; every block is hashed once with its number, and a key combines the hashes of the others. In
+    the ``longer`` view the blocks behind the one left out begin one character later: they are cut from the line's second
+    character on.
+    """
+    views = F.array(
+        F.struct(F.lit(False).alias("longer"), F.col("chars").alias("length")),
+        F.struct(F.lit(True).alias("longer"), (F.col("chars") - 1).alias("length")),
     )
-    start = F.floor(F.col("number") * F.col("length") / F.col("blocks")).cast("int")
-    end = F.floor((F.col("number") + 1) * F.col("length") / F.col("blocks")).cast("int") + F.col("longer").cast("int")
-    placed = views.select("pos", "h1", "h2", "line", "chars", "longer", "number", "length", start.alias("start"), end.alias("end"))
-    rest = F.xxhash64("length", "number", F.substring("line", F.lit(1), F.col("start")), F.substring("line", F.col("end") + 1, F.col("chars")))
-    return placed.select("pos", "h1", "h2", "line", rest.alias("key"), "longer", "start", (F.col("end") - F.col("start")).alias("size"))
+    viewed = lines.select("pos", "h1", "h2", "line", F.inline(views))
+    cut = F.concat(F.lit("(?s).{1,"), _block_size(F.col("length")), F.lit("}"))
+    pieces = lambda first: F.regexp_extract_all(F.substring("line", first, F.col("length")), cut, F.lit(0))
+    late = F.when(F.col("longer"), F.lit(2)).otherwise(F.lit(1))
+    both = viewed.select("pos", "h1", "h2", "longer", "length", pieces(F.lit(1)).alias("before"), pieces(late).alias("after"))
+    summed = both.select("pos", "h1", "h2", "longer", "length", _prefixes(F.col("before")).alias("front"), _prefixes(F.col("after")).alias("back"), F.arrays_zip("before", "after").alias("blocks"))
+    each = summed.select("pos", "h1", "h2", "longer", "length", "front", "back", F.posexplode("blocks").alias("number", "piece"))
+    rest = F.get("front", "number").bitwiseXOR(F.element_at("back", -1)).bitwiseXOR(F.get("back", F.col("number") + 1))
+    block = F.when(F.col("longer"), F.concat("piece.before", F.right("piece.after", F.lit(1)))).otherwise(F.col("piece.before"))
+    return each.select("pos", "h1", "h2", F.xxhash64("length", "number", rest).alias("key"), "longer", block.alias("block"))
 
 
 def _variants(members: DataFrame) -> DataFrame:
@@ -102,10 +120,10 @@ def _probes(lines: DataFrame) -> DataFrame:
 
 def _later_near_lines(lines: DataFrame) -> DataFrame:
     """``h1, h2`` of distinct lines that have an earlier line at distance one."""
-    keyed = _keyed(lines)
+    # Cutting long lines is the dear part: done once, and written.
+    keyed = freeze(_keyed(lines), "line-keyed")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
-    block = F.substring("line", F.col("start") + 1, F.col("size"))
-    found = attach(keyed, freeze(shared, "line-keys"), "key").select("key", "longer", "h1", "h2", "pos", block.alias("block"))
+    found = attach(keyed, freeze(shared, "line-keys"), "key")
     members = freeze(found.groupBy("key", "longer", "h1", "h2").agg(F.min("pos").alias("pos"), F.min("block").alias("block")), "line-members")
     # A line removed on one side meets only lines that are whole, and the other way round.
     variants = freeze(_variants(members).withColumn("side", (F.col("kind") == 1) & F.col("longer")), "line-variants")
