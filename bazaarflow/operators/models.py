@@ -109,7 +109,7 @@ def _base_score(name: str) -> Column:
     return vector_to_array("rawPrediction" if name == "logistic_regression" else "probability")[1]
 
 
-def _fit_platt(held_out: DataFrame) -> LogisticRegressionModel:
+def fit_platt(held_out: DataFrame) -> LogisticRegressionModel:
     """Sigmoid through the held-out scores. Platt's smoothed targets become a weighted pair of rows per example."""
     counts = held_out.agg(F.count_if(F.col("purchase_label") == 1).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = counts["pos"], counts["n"] - counts["pos"]
@@ -170,7 +170,7 @@ def fit_calibrated(
     def fit_fold(i: int) -> tuple[PipelineModel, float, float]:
         base = fit_base_model(model, placed.filter(F.col("fold") != i), lookback, max_iter)
         held_out = base.transform(placed.filter(F.col("fold") == i))
-        platt = _fit_platt(held_out.select("purchase_label", _base_score(model).alias("base_score")))
+        platt = fit_platt(held_out.select("purchase_label", _base_score(model).alias("base_score")))
         return base, float(platt.coefficients[0]), float(platt.intercept)
 
     try:

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import has_user, round_half_away
 from bazaarflow.operators import metrics
+from bazaarflow.operators.boosting import SteppedTrees
 from bazaarflow.operators.models import calibrated_scores
 from bazaarflow.operators.prep import OneClassError, apply_spend_cap, require_two_classes, spend_cap_value, split_10_1_1, training_rows
 from bazaarflow.schemas import HORIZONS, LOOKBACKS, PROPENSITY_MODELS
 
 # (fit rows, score rows, lookback) -> score rows with propensity_score
 Scorer = Callable[[DataFrame, DataFrame, int], DataFrame]
+Pair = tuple[int, int]  # horizon, lookback
 SWEEP_LOOKBACK = 90
 SWEEP_HORIZON = 30
 
@@ -76,12 +80,14 @@ def gap_coverage(gaps: DataFrame, windows: Sequence[int] = HORIZONS) -> DataFram
     return covered.select("window_days", round_half_away(F.col("share"), 6).alias("inter_purchase_gap_coverage"))
 
 
-def trained_scorers(names: Sequence[str] = PROPENSITY_MODELS, max_iter: int | None = None) -> dict[str, Scorer]:
-    """The calibrated models as scorers for the sweep."""
+def trained_scorers(names: Sequence[str] = PROPENSITY_MODELS, max_iter: int | None = None) -> dict[str, Scorer | SteppedTrees]:
+    """The calibrated models for the sweep. The trees of all windows are grown in step, as one fit after the other would
+    take a job per level of every tree of every fit."""
 
-    def scorer(name: str) -> Scorer:
-        limit = max_iter if name == "boosted_trees" else None
-        return lambda fit, score, lookback: calibrated_scores(fit, score, name, lookback, max_iter=limit)
+    def scorer(name: str) -> Scorer | SteppedTrees:
+        if name == "boosted_trees":
+            return SteppedTrees(300 if max_iter is None else max_iter)
+        return lambda fit, score, lookback: calibrated_scores(fit, score, name, lookback)
 
     return {name: scorer(name) for name in names}
 
@@ -93,23 +99,27 @@ SWEEP_SCHEMA = (
 )
 
 
-def _evaluate(panel: DataFrame, name: str, scorer: Scorer, horizon: int, lookback: int) -> tuple:
-    """Validation metrics of one model at one (horizon, lookback); labels of one class become an ``invalid`` row."""
+def _prepared(panel: DataFrame, horizon: int, lookback: int) -> tuple[DataFrame, float] | OneClassError:
+    """Capped train and validation rows with the cap, or what is wrong with the labels."""
     try:
         rows = split_10_1_1(training_rows(panel, horizon, lookback))
         train = rows.filter("slice = 'train'")
         require_two_classes(train)
         cap = spend_cap_value(train, lookback).first()[0]
-        capped = apply_spend_cap(rows, lookback, cap).persist()
-        try:
-            counts = dict(capped.groupBy("slice").count().collect())
-            scored = scorer(capped.filter("slice = 'train'"), capped.filter("slice = 'validation'"), lookback).persist()
-            values = dict(metrics.propensity_quality(scored, "purchase_label", "propensity_score").collect())
-            scored.unpersist()
-        finally:
-            capped.unpersist()
+        return apply_spend_cap(rows, lookback, cap).persist(), cap
     except OneClassError as error:
-        return (name, "invalid", 0.0, 0.0, 0.0, 1.0, 1.0, 0, 0, 0.0, 0.0, f"{type(error).__name__}: {error}"[:500])
+        return error
+
+
+def _invalid(name: str, error: OneClassError) -> tuple:
+    return (name, "invalid", 0.0, 0.0, 0.0, 1.0, 1.0, 0, 0, 0.0, 0.0, f"{type(error).__name__}: {error}"[:500])
+
+
+def _quality(name: str, capped: DataFrame, cap: float, scored: DataFrame) -> tuple:
+    counts = dict(capped.groupBy("slice").count().collect())
+    scored = scored.persist()
+    values = dict(metrics.propensity_quality(scored, "purchase_label", "propensity_score").collect())
+    scored.unpersist()
     return (
         name,
         "ok",
@@ -128,24 +138,43 @@ def _evaluate(panel: DataFrame, name: str, scorer: Scorer, horizon: int, lookbac
 
 def window_sweep(
     panel: DataFrame,
-    models: Mapping[str, Scorer],
+    models: Mapping[str, Scorer | SteppedTrees],
     horizons: Sequence[int] = HORIZONS,
     lookbacks: Sequence[int] = LOOKBACKS,
 ) -> DataFrame:
     """Horizons at the fixed lookback, then lookbacks at the fixed horizon, each with every model.
 
-    The loop runs over the handful of combinations; each evaluation is a Spark job over the cached panel.
+    The handful of combinations is prepared, fitted and measured side by side; models that fit all of them at once do so.
+    Labels of one class become an ``invalid`` row.
     """
     panel = panel.persist()
-    done: dict[tuple[int, int], list[tuple]] = {}
-    result = []
     plan = [("horizon", h, h, SWEEP_LOOKBACK) for h in horizons] + [("lookback", b, SWEEP_HORIZON, b) for b in lookbacks]
-    for sweep, window, horizon, lookback in plan:
-        if (horizon, lookback) not in done:
-            done[horizon, lookback] = [_evaluate(panel, n, s, horizon, lookback) for n, s in models.items()]
-        for order, row in enumerate(done[horizon, lookback]):
-            result.append((sweep, window, order, *row))
-    panel.unpersist()
+    pairs = list(dict.fromkeys((horizon, lookback) for _, _, horizon, lookback in plan))
+    on_session = inheritable_thread_target(panel.sparkSession)
+    with ThreadPool(4) as pool:
+        prepared = dict(zip(pairs, pool.starmap(on_session(lambda h, b: _prepared(panel, h, b)), pairs), strict=True))
+        usable = {pair: found for pair, found in prepared.items() if not isinstance(found, OneClassError)}
+        try:
+            joint = {n: m.scores({pair: rows for pair, (rows, _) in usable.items()}) for n, m in models.items() if isinstance(m, SteppedTrees) and usable}
+
+            def evaluated(name: str, pair: Pair) -> tuple:
+                if pair not in usable:
+                    return _invalid(name, prepared[pair])
+                capped, cap = usable[pair]
+                try:
+                    if name in joint:
+                        return _quality(name, capped, cap, joint[name][pair])
+                    return _quality(name, capped, cap, models[name](capped.filter("slice = 'train'"), capped.filter("slice = 'validation'"), pair[1]))
+                except OneClassError as error:
+                    return _invalid(name, error)
+
+            tasks = [(name, pair) for pair in pairs for name in models]
+            done = dict(zip(tasks, pool.starmap(on_session(evaluated), tasks), strict=True))
+        finally:
+            for rows, _ in usable.values():
+                rows.unpersist()
+            panel.unpersist()
+    result = [(sweep, window, order, *done[name, (h, b)]) for sweep, window, h, b in plan for order, name in enumerate(models)]
     return panel.sparkSession.createDataFrame(result, SWEEP_SCHEMA)
 
 
