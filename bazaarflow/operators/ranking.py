@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import round_half_away
-from bazaarflow.operators.retrieval import embedding_top_k, learned_retriever, with_zero_vectors
+from bazaarflow.operators.embeddings import learned_retriever
+from bazaarflow.operators.retrieval import embedding_top_k, with_zero_vectors
 from bazaarflow.schemas import EVALUATION_K, RETRIEVERS
 
 HELD_OUT = {"validation": "val", "test": "test"}
@@ -133,14 +134,14 @@ def random_recall_anchor(metrics: DataFrame, k: int, n_items: int) -> DataFrame:
 # Base settings of the learned retriever and the eight variations tried on top of it.
 SWEEP_OVERRIDES = (
     {},
-    {"alpha": 20.0},
-    {"alpha": 80.0},
-    {"reg": 0.01},
-    {"reg": 1.0},
-    {"max_iter": 5},
-    {"alpha": 20.0, "reg": 0.01},
-    {"alpha": 20.0, "max_iter": 5},
-    {"alpha": 20.0, "reg": 0.01, "max_iter": 5},
+    {"temperature": 0.05},
+    {"temperature": 0.2},
+    {"rate": 0.1},
+    {"rate": 0.6},
+    {"negatives": 4},
+    {"negatives": 16},
+    {"temperature": 0.05, "rate": 0.1},
+    {"temperature": 0.2, "negatives": 16},
 )
 
 

@@ -26,6 +26,8 @@ SEED = 42
 MOST_ALS_IDS = 2**31 - 1
 # Users and items meet in blocks; a block of vectors takes about so many bytes.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Items of the block that every user meets first.
+HEAD_ITEMS = 4096
 # Scores held at once by one task while it ranks (32 MB of doubles).
 SCORES_IN_MEMORY = 4_000_000
 
@@ -206,8 +208,8 @@ def mf_factors(
     return cut_lineage(users), cut_lineage(items)
 
 
-# --- learned embeddings -------------------------------------------------------------------------------------------
-def learned_retriever(
+# --- alternating least squares -------------------------------------------------------------------------------------------
+def als_retriever(
     pairs: DataFrame,
     rank: int = 64,
     seed: int = SEED,
@@ -315,11 +317,11 @@ def _best_k(scores: DataFrame, k: int) -> DataFrame:
     return ranked.select("user_idx", F.col("rank").cast("bigint").alias("rank"), "item_idx", "score")
 
 
-def _in_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_blocks: int) -> DataFrame:
+def _scored_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_blocks: int) -> DataFrame:
     """Users (``user_idx, vector, item_block``) against items (``item_idx, vector, item_block``), block by block.
 
     A block of users meets a block of items in one task and keeps ``k`` rows per user; the lists of the item blocks are
-    merged afterwards. Blocks are cut by hash of unique ids, so their sizes are even whatever the data looks like.
+    merged by the caller. Blocks are cut by hash of unique ids, so their sizes are even whatever the data looks like.
     """
     block = F.pmod(F.xxhash64("user_idx"), F.lit(user_blocks)).cast("int")
     places = items.select("item_idx", "item_block")
@@ -341,29 +343,62 @@ def _in_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user
         )
 
     keys = ["user_block", "item_block"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, _RANKED)
-    return _best_k(scored, k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, _RANKED)
 
 
 def _per_block(dim: int, block_bytes: int) -> int:
     return max(1, block_bytes // (8 * max(dim, 1)))
 
 
+def _within_reach(users: DataFrame, first: DataFrame, bounds: list[tuple[int, float]], k: int) -> DataFrame:
+    """``user_idx, vector, item_block`` for the blocks that may change a user's list.
+
+    No score of a block exceeds the user's length times the block's longest vector (``bounds``, one entry per block of
+    items); a block is left out where that is below the worst of the ``k`` scores the user already has.
+    """
+    worst = first.groupBy("user_idx").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("worst"))
+    length = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    asking = users.select("user_idx", "vector", length.alias("length")).join(worst, "user_idx", "left")
+    blocks = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(longest).alias("longest")) for b, longest in bounds))
+    # Rounding may lift a score above the product of the lengths by a few units in the last place.
+    near = F.filter(blocks, lambda b: F.col("worst").isNull() | (F.col("length") * b["longest"] * (1 + 1e-9) >= F.col("worst")))
+    return asking.select("user_idx", "vector", F.explode(F.transform(near, lambda b: b["block"])).alias("item_block"))
+
+
 def embedding_top_k(
-    user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int, block_bytes: int = BLOCK_BYTES
+    user_vecs: DataFrame,
+    item_vecs: DataFrame,
+    seen: DataFrame,
+    k: int,
+    block_bytes: int = BLOCK_BYTES,
+    head_items: int = HEAD_ITEMS,
 ) -> DataFrame:
-    """Exact ``k`` best unseen items per user by inner product, ranked from 1. Users and items meet in blocks."""
+    """Exact ``k`` best unseen items per user by inner product, ranked from 1. No items give no rows.
+
+    Items are sorted by length and cut into blocks. Every user meets the block of the longest vectors first; after that
+    only the blocks whose vectors are long enough to beat the list found there. Users are cut into as many blocks as it
+    takes to keep all cores at work.
+    """
     shape = item_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not shape["n"]:
         return _best_k(user_vecs.limit(0).selectExpr("user_idx", "user_idx AS item_idx", "CAST(0 AS DOUBLE) AS score"), k)
     per_block = _per_block(shape["dim"], block_bytes)
-    item_blocks = math.ceil(shape["n"] / per_block)
-    user_blocks = max(1, math.ceil(user_vecs.count() / per_block))
-    block = F.pmod(F.xxhash64("item_idx"), F.lit(item_blocks)).cast("int")
-    items = item_vecs.select("item_idx", "vector", block.alias("item_block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("item_block")
-    users = user_vecs.select("user_idx", "vector", every)
-    return _in_blocks(users, items, seen, k, user_blocks)
+    head = min(per_block, max(head_items, 2 * k))
+    measured = item_vecs.select("item_idx", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("length"))
+    placed, _ = with_ordinal(measured, [F.desc("length"), "item_idx"], "place")
+    block = F.when(F.col("place") < head, 0).otherwise(1 + F.floor((F.col("place") - head) / per_block)).cast("int")
+    items = cut_lineage(placed.select("item_idx", "vector", "length", block.alias("item_block")))
+    tasks = user_vecs.sparkSession.sparkContext.defaultParallelism
+    by_size = math.ceil(user_vecs.count() / per_block)
+    everyone = user_vecs.select("user_idx", "vector", F.lit(0).alias("item_block"))
+    first = cut_lineage(_scored_blocks(everyone, items.filter("item_block = 0").drop("length"), seen, k, max(by_size, tasks)))
+    others = items.filter("item_block > 0")
+    bounds = [tuple(row) for row in others.groupBy("item_block").agg(F.max("length")).orderBy("item_block").collect()]
+    if not bounds:
+        return _best_k(first, k)
+    routed = _within_reach(user_vecs, first, bounds, k)
+    rest = _scored_blocks(routed, others.drop("length"), seen, k, max(by_size, math.ceil(tasks / len(bounds))))
+    return _best_k(first.unionByName(rest), k)
 
 
 def approx_top_k(
@@ -382,8 +417,10 @@ def approx_top_k(
     clusters that were not probed. A cluster that holds very many items is cut into several blocks.
     """
     shape = item_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    per_block = _per_block(shape["dim"] or 0, block_bytes)
-    cells = max(1, math.isqrt(shape["n"]))
+    cells = math.isqrt(shape["n"])
+    if cells < 2:  # up to three items: nothing to cluster
+        return embedding_top_k(user_vecs, item_vecs, seen, k, block_bytes)
+    per_block = _per_block(shape["dim"], block_bytes)
     vectors = item_vecs.select("item_idx", "vector", array_to_vector("vector").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(vectors)
     centers = np.array(model.clusterCenters())
@@ -419,7 +456,7 @@ def approx_top_k(
     every = F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("blocks") - 1)).alias("item_block")
     users = routed.select("user_idx", "vector", every)
     user_blocks = max(1, math.ceil(user_vecs.count() / per_block))
-    return _in_blocks(users, items, seen, k, user_blocks)
+    return _best_k(_scored_blocks(users, items, seen, k, user_blocks), k)
 
 
 # --- serving tables -----------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow.functions.scale import cut_lineage
 from bazaarflow.operators import dq, ranking, retrieval, splits, validate
+from bazaarflow.operators.embeddings import learned_retriever
 from bazaarflow.schemas import EVALUATION_K
 
 
@@ -70,7 +71,7 @@ def recommender_pipeline(
     weighted = retrieval.tfidf_interactions(gold.pairs, gold.n_users)
     vectors = {
         "mf": retrieval.mf_factors(weighted, gold.n_users, gold.n_items, components),
-        "learned": retrieval.learned_retriever(gold.pairs, rank),
+        "learned": learned_retriever(gold.pairs, rank),
     }
 
     def lists(model: str, k: int, approx: bool = False) -> DataFrame:

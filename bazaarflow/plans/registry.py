@@ -16,6 +16,7 @@ from bazaarflow.functions.columns import normalize_user_id, round_half_away
 from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir
 from bazaarflow.operators import (
     dq,
+    embeddings,
     features,
     labels,
     metrics,
@@ -546,7 +547,7 @@ def _mf_factors(gold: recommender.RecommenderGold) -> DataFrame:
 
 
 def _learned_retriever(gold: recommender.RecommenderGold) -> DataFrame:
-    users, items = retrieval.learned_retriever(gold.pairs, COMPONENTS)
+    users, items = embeddings.learned_retriever(gold.pairs, COMPONENTS)
     return users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), "vector").unionByName(
         items.select(F.lit("item").alias("side"), F.col("item_idx").alias("idx"), "vector")
     )
@@ -571,7 +572,7 @@ def _rank_candidates(gold: recommender.RecommenderGold) -> DataFrame:
 
 
 def _retriever_sweep(gold: recommender.RecommenderGold) -> DataFrame:
-    base = {"rank": COMPONENTS, "max_iter": 10}
+    base = {"rank": COMPONENTS, "epochs": 2}
     return ranking.retriever_sweep(gold.pairs, recommender.held_out(gold), gold.user_index, gold.n_items, base)
 
 

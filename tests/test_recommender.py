@@ -50,6 +50,40 @@ def test_exact_search_in_blocks(vectors):
     assert triples(retrieval.embedding_top_k(*frames, 10, block_bytes=16 * 8 * dim)) == expected
 
 
+def test_blocks_of_short_vectors_are_skipped(spark, monkeypatch):
+    """Lengths fall by the item's number: most (user, block) pairs cannot change a list; all rows are as without skipping."""
+    rng = np.random.default_rng(4)
+    users = {u: rng.standard_normal(6) for u in range(40)}
+    users[3] = np.zeros(6)
+    items = {i: rng.standard_normal(6) * 0.97**i for i in range(400)}
+    seen = {(u, i) for u in users for i in range(u % 5)}
+    asked, plain = [], retrieval._scored_blocks
+    monkeypatch.setattr(retrieval, "_scored_blocks", lambda own, *rest: asked.append(own) or plain(own, *rest))
+    frames = (
+        spark.createDataFrame([(u, v.tolist()) for u, v in users.items()], VECTOR_USERS),
+        spark.createDataFrame([(i, v.tolist()) for i, v in items.items()], VECTOR_ITEMS),
+        spark.createDataFrame(list(seen), PAIRS),
+    )
+    found = triples(retrieval.embedding_top_k(*frames, 5, block_bytes=20 * 8 * 6, head_items=20))
+    assert found == brute_force(users, items, seen, 5)
+    assert asked[0].count() == 40 and asked[1].count() < 40 * 19 / 3
+    assert asked[1].filter("user_idx = 3").count() == 19
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4])
+def test_few_items(spark, n):
+    users = {u: np.array([1.0, u]) for u in range(6)}
+    items = {i: np.array([i, 2.0]) for i in range(n)}
+    frames = (
+        spark.createDataFrame([(u, v.tolist()) for u, v in users.items()], VECTOR_USERS),
+        spark.createDataFrame([(i, v.tolist()) for i, v in items.items()], VECTOR_ITEMS),
+        spark.createDataFrame([(0, 0)], PAIRS),
+    )
+    expected = brute_force(users, items, {(0, 0)}, 3)
+    assert triples(retrieval.embedding_top_k(*frames, 3)) == expected
+    assert triples(retrieval.approx_top_k(*frames, 3)) == expected
+
+
 def test_scores_in_small_steps(vectors, monkeypatch):
     frames, expected = vectors
     users, items, seen = (f.toPandas() for f in frames)
@@ -102,7 +136,7 @@ def test_stray_split_names_are_ignored(spark):
 
 def test_factor_ids_beyond_the_solver_are_refused(spark):
     with pytest.raises(ValueError, match="32-bit"):
-        retrieval.learned_retriever(spark.createDataFrame([(2**31, 0)], PAIRS))
+        retrieval.als_retriever(spark.createDataFrame([(2**31, 0)], PAIRS))
 
 
 def test_dot_products_and_unit_rows(vectors):
@@ -209,7 +243,7 @@ def test_binary_weighting(interactions):
 
 def test_learned_vectors_are_repeatable_and_unit_length(spark):
     pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2)], PAIRS)
-    runs = [retrieval.learned_retriever(pairs, rank=4, max_iter=3) for _ in range(2)]
+    runs = [retrieval.als_retriever(pairs, rank=4, max_iter=3) for _ in range(2)]
     first, second = ({r.item_idx: tuple(r.vector) for r in items.collect()} for _, items in runs)
     assert first == second and set(first) == {0, 1, 2}
     assert all(np.linalg.norm(v) == pytest.approx(1.0) for v in first.values())
