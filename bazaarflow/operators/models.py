@@ -99,7 +99,7 @@ def propensity_gbt(train: DataFrame, lookback: int, max_iter: int = 300) -> Pipe
 
 def fit_base_model(name: str, train: DataFrame, lookback: int, max_iter: int | None = None) -> PipelineModel:
     if name not in PROPENSITY_MODELS:
-        raise ValueError(f"Unsupported model: {name}")
+        raise ValueError(f"there is no propensity model named {name}; known are {PROPENSITY_MODELS}")
     extra = {} if max_iter is None else {"max_iter": max_iter}
     return (propensity_logistic if name == "logistic_regression" else propensity_gbt)(train, lookback, **extra)
 
@@ -227,11 +227,11 @@ def fit_conditional_revenue(
 ) -> ConditionalRevenue:
     """Fit on buyers. ``model`` is ``gbt`` or ``constant``; fewer than two buyers always give the constant."""
     if model not in ("gbt", "constant"):
-        raise ValueError(f"Unsupported revenue model: {model}")
+        raise ValueError(f"there is no revenue model named {model}; known are gbt and constant")
     buyers = fit_rows.filter(F.col("purchase_label") == 1)
     summary = buyers.agg(F.count(F.lit(1)).alias("n"), F.avg("revenue_label").alias("mean")).first()
     if not summary["n"]:
-        raise ValueError("No positive purchase rows for conditional revenue training.")
+        raise ValueError("revenue is learned from buyers, and the fit rows hold none")
     if model == "constant" or summary["n"] < 2:
         return ConditionalRevenue("constant", float(summary["mean"]), None)
     trees = GBTRegressor(
@@ -275,7 +275,7 @@ def batch_score_snapshot(
     inputs = numeric_features(lookback)
     require_columns(features, ["user_id", "as_of_date", "country", *inputs], "input snapshot")
     if features.isEmpty():
-        raise ValueError("No rows found in input dataset")
+        raise ValueError("the snapshot to score is empty")
     rows = features.select(
         F.col("user_id").cast("string").alias("user_id"),
         F.col("as_of_date").cast("string").alias("as_of_date"),

@@ -65,11 +65,11 @@ def propensity_pipeline(
     ``fixed`` trains the given model; ``sensitivity`` first sweeps horizons, lookbacks and ``candidates`` and freezes the best.
     """
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}, got {mode}")
+        raise ValueError(f"{mode} is no mode of this engine; it runs as {MODES}")
     if mode == "fixed" and model is None:
-        raise ValueError("fixed mode requires a model")
+        raise ValueError("a run with fixed windows needs the name of its model")
     if model is not None and model not in PROPENSITY_MODELS:
-        raise ValueError(f"Unsupported model: {model}")
+        raise ValueError(f"there is no propensity model named {model}; known are {PROPENSITY_MODELS}")
     check_windows(horizon, lookback)
     policy.target_count(budget, cost)
 

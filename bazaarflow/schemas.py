@@ -75,7 +75,7 @@ def require_columns(df: DataFrame, required: Iterable[str], table: str) -> DataF
     """Return ``df`` unchanged, or fail when a required column is absent."""
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Missing required columns in {table}: {missing}")
+        raise ValueError(f"the {table} lacks {missing}")
     return df
 
 

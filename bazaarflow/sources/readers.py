@@ -21,7 +21,7 @@ def raw_csv_source(spark: SparkSession, path: str) -> DataFrame:
     header = reader.csv(path).columns if path else []
     missing = sorted(set(RAW_COLUMNS) - set(header))
     if missing:
-        raise ValueError(f"Missing required columns in raw source: {missing}")
+        raise ValueError(f"the raw file lacks {missing}")
     if tuple(header) == RAW_COLUMNS:
         return reader.schema(RAW_SCHEMA).csv(path)
     return reader.csv(path).select(*(F.col(f"`{name}`") for name in RAW_COLUMNS))
@@ -36,10 +36,10 @@ def read_panel(spark: SparkSession, root: str, dates: Iterable[str], allow_empty
     """Rows of the wanted ``as_of_date`` partitions; the filter prunes the other folders before any file is read."""
     wanted = sorted({str(date) for date in dates})
     if not wanted:
-        raise ValueError("At least one snapshot date is required.")
+        raise ValueError("name the snapshot dates to read")
     panel = spark.read.parquet(root).filter(F.col("as_of_date").isin([F.lit(d).cast("date") for d in wanted]))
     if not allow_empty and panel.isEmpty():
-        raise ValueError(f"No rows found in {root} for {', '.join(wanted)}")
+        raise ValueError(f"{root} holds no snapshot of {', '.join(wanted)}")
     return panel
 
 
