@@ -691,8 +691,7 @@ def recommender_statements() -> dict[str, str]:
         """SELECT user_idx, item_idx, rank, round(score, 6) AS score FROM (
             SELECT user_idx, item_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY buyers DESC, item_idx) AS rank FROM (
                 SELECT user_idx, p.item_idx, buyers, ln(1 + buyers) / (SELECT ln(1 + max(buyers)) FROM pop) AS score
-                FROM users, pop_scores p WHERE (user_idx, p.item_idx) NOT IN (SELECT (user_idx, item_idx) FROM pairs)
-                QUALIFY row_number() OVER (PARTITION BY user_idx ORDER BY interactions DESC, p.item_idx) <= 40)) WHERE rank <= 20""",
+                FROM users, pop_scores p WHERE (user_idx, p.item_idx) NOT IN (SELECT (user_idx, item_idx) FROM pairs))) WHERE rank <= 20""",
         "users",
         "pairs",
         "pop_scores",
