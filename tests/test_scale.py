@@ -62,3 +62,45 @@ def test_rank_within_matches_a_window(numbers):
         by_value.setdefault(row.v, []).append((-row.id, row.r))
     for rows in by_value.values():
         assert [r for _, r in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
+
+@pytest.mark.parametrize("border", [0, 65_536])
+def test_cut_takes_the_same_rows_as_a_sort(spark, border):
+    rng = np.random.default_rng(4)
+    tailed = np.round(np.exp(rng.normal(0, 12, 400)) * rng.choice([-1, 1], 400), 6)
+    texts = [*map(float, tailed), *[0.0] * 300, *[2.5] * 90, 1e-6, 2e-6, float("inf"), float("-inf"), float("nan"), float("nan"), None, None]
+    close = [1.0 + i * 2.0**-52 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, v, close[i]) for i, v in enumerate(texts)], "id bigint, v double, w double").repartition(5)
+
+    def descending(i):
+        v = texts[i]
+        return (2, 0, i) if v is None else (0, 0, i) if v != v else (1, -v, i)
+
+    places = sorted(range(len(texts)), key=descending)
+    for k in (2, 3, 400, len(texts) - 1, 5000):
+        cuts = scale.top_cuts(df, ["v", "w"], k, border)
+        chosen = scale.rows_of_cut(df, cuts["v"], [F.desc("v"), "id"])
+        assert sorted(r.id for r in chosen.collect()) == sorted(places[:k])
+        chosen = scale.rows_of_cut(df, cuts["w"], [F.desc("w"), "id"])
+        assert sorted(r.id for r in chosen.collect()) == list(range(len(texts)))[-k:]
+
+
+def test_cut_of_nothing_and_of_one_value(spark):
+    empty = spark.createDataFrame([], "id bigint, v double")
+    assert scale.rows_of_cut(empty, scale.top_cuts(empty, ["v"], 3)["v"], [F.desc("v"), "id"]).count() == 0
+    same = spark.range(1000).select("id", F.lit(7.0).alias("v"))
+    cut = scale.top_cuts(same, ["v"], 10, 0)["v"]
+    assert (cut.wanted, cut.border_rows) == (10, 1000)
+    assert sorted(r.id for r in scale.rows_of_cut(same, cut, [F.desc("v"), "id"]).collect()) == list(range(10))
+    with pytest.raises(ValueError):
+        scale.top_cuts(same, ["v"], 0)
+
+
+def test_cut_sorts_the_border_only(spark):
+    df = spark.range(200_000).select("id", (F.pmod(F.hash("id"), F.lit(1_000_003)) / 7).alias("v"))
+    cut = scale.top_cuts(df, ["v"], 70_000, 500)["v"]
+    assert 0 < cut.wanted <= cut.border_rows <= 500
+    chosen = scale.rows_of_cut(df, cut, [F.desc("v"), "id"])
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan.lower() and "Sort" not in plan and chosen.count() == 70_000
