@@ -34,6 +34,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed_by(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``df`` hash-partitioned by ``key`` and written to the checkpoint folder: later steps on ``key`` leave it in place.
+
+    Only a plan that is not adaptive tells how its rows lie, so adaptive execution is off while this one is written.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(partitions, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def sorted_blocks(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Globally sorted rows with ``_block`` (range partition) and ``_pos`` (place inside the block).
 

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import dot, l2_normalized
-from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir, rank_within, with_ordinal
+from bazaarflow.functions.scale import cut_lineage, ensure_checkpoint_dir, placed_by, rank_within, with_ordinal
 from bazaarflow.schemas import SPLIT_NAMES
 
 SEED = 42
 MOST_ALS_IDS = 2**31 - 1
 # Users and items meet in blocks; a block of vectors takes about so many bytes.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Weighted pairs of one block of the factorization; with as many item rows they take about 250 MB.
+BLOCK_PAIRS = 200_000
 # Items of the block that every user meets first.
 HEAD_ITEMS = 4096
 # Scores held at once by one task while it ranks (32 MB of doubles).
@@ -171,18 +173,82 @@ def _whitening(gram: np.ndarray) -> np.ndarray:
     return vectors * np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
+class _PairBlocks:
+    """Weighted pairs kept in hashed blocks of users: a product with them moves rows of factors, never pairs.
+
+    A block holds whole users, about ``most`` pairs. Users with more pairs than that would not fit one; theirs are kept
+    apart as ``heavy`` and multiplied by joins.
+    """
+
+    def __init__(self, weighted: DataFrame, most: int):
+        degrees = weighted.groupBy("user_idx").agg(F.count(F.lit(1)).alias("pairs"))
+        heavy = cut_lineage(degrees.filter(F.col("pairs") > most).select("user_idx"))
+        total, large = weighted.count(), heavy.count()
+        blocks = max(int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+        block = F.pmod(F.xxhash64("user_idx"), F.lit(blocks)).alias("block")
+        light = weighted.join(heavy, "user_idx", "left_anti") if large else weighted
+        self.heavy = cut_lineage(weighted.join(heavy, "user_idx", "left_semi")) if large else None
+        self.light = placed_by(light.select(block, "user_idx", "item_idx", "weight"), "block", blocks)
+        self.routes = placed_by(self.light.select("item_idx", "block").distinct(), "item_idx", blocks)
+
+    def product(self, item_side: DataFrame, rotation: np.ndarray, width: int, to: str) -> DataFrame:
+        """With the item table Z and the rotation R: user rows W Z R (``to`` user_idx), or item rows W' W Z R."""
+        columns = _axis(width)
+
+        def sums(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(keys, kind="stable")
+            named, first = np.unique(keys[order], return_index=True)
+            return named, np.add.reduceat(values[order], first, axis=0)
+
+        def multiply(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if pairs.empty:
+                return pd.DataFrame({to: np.zeros(0, dtype=np.int64), **{c: np.zeros(0) for c in columns}})
+            rows = rows.sort_values("item")
+            users, items = pairs["user_idx"].to_numpy(), pairs["item_idx"].to_numpy()
+            weight = pairs["weight"].to_numpy(dtype=float)[:, None]
+            place = np.searchsorted(rows["item"].to_numpy(), items)
+            keys, result = sums(weight * rows[columns].to_numpy(dtype=float)[place], users)
+            result = result @ rotation
+            if to == "item_idx":
+                keys, result = sums(weight * result[np.searchsorted(keys, users)], items)
+            out = pd.DataFrame(result, columns=columns)
+            out.insert(0, to, keys)
+            return out
+
+        schema = ", ".join([f"{to} bigint", *(f"{c} double" for c in columns)])
+        sent = self.routes.join(item_side, "item_idx").select(
+            F.col("block").alias("to_block"), F.col("item_idx").alias("item"), *columns
+        )
+        product = self.light.groupBy("block").cogroup(sent.groupBy("to_block")).applyInPandas(multiply, schema)
+        if self.heavy is not None:
+            by_user = _rotate(_multiply(self.heavy, "item_idx", "user_idx", item_side, width), "user_idx", width, rotation)
+            other = by_user if to == "user_idx" else _multiply(self.heavy, "user_idx", "item_idx", by_user, width)
+            product = product.unionByName(other)
+        if to == "user_idx":
+            return product
+        return product.groupBy("item_idx").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def mf_factors(
-    weighted_pairs: DataFrame, n_users: int, n_items: int, components: int = 64, n_iter: int = 5, seed: int = SEED
+    weighted_pairs: DataFrame,
+    n_users: int,
+    n_items: int,
+    components: int = 64,
+    n_iter: int = 5,
+    seed: int = SEED,
+    block_pairs: int = BLOCK_PAIRS,
 ) -> tuple[DataFrame, DataFrame]:
     """Truncated SVD of the user-item matrix: user rows of U*S and item rows of V, as ``(idx, vector)`` tables.
 
-    Randomized subspace iteration with both factor tables distributed. Only small square matrices (components + 10) reach
-    the driver. Each round is written out, so a lost executor repeats one round, not all of them. Users without train
-    pairs have no row here and count as zero vectors.
+    Randomized subspace iteration with both factor tables distributed. The pairs are placed once, in blocks of users; a
+    round sends each item row to the blocks that hold the item and adds up what comes back. Only small square matrices
+    (components + 10) reach the driver. Each round is written out, so a lost executor repeats one round, not all of them.
+    Users without train pairs have no row here and count as zero vectors.
     """
     rank = max(2, min(components, min(n_users, n_items) - 1))
     width = min(rank + 10, max(n_items, 2))
     weighted = cut_lineage(weighted_pairs.select("user_idx", "item_idx", "weight"))
+    blocks = _PairBlocks(weighted, block_pairs)
     columns = _axis(width)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,17 +260,17 @@ def mf_factors(
             yield out
 
     schema = ", ".join(["item_idx bigint", *(f"{c} double" for c in columns)])
-    basis = weighted.select("item_idx").distinct().mapInPandas(start, schema)
+    item_side = weighted.select("item_idx").distinct().mapInPandas(start, schema)
+    rotation = np.eye(width)
     for _ in range(max(1, n_iter)):
-        user_side = _multiply(weighted, "item_idx", "user_idx", basis, width)
-        item_side = cut_lineage(_multiply(weighted, "user_idx", "item_idx", user_side, width))
-        basis = _rotate(item_side, "item_idx", width, _whitening(_gram(item_side, width)))
-    user_side = cut_lineage(_multiply(weighted, "item_idx", "user_idx", basis, width))
+        item_side = cut_lineage(blocks.product(item_side, rotation, width, "item_idx"))
+        rotation = _whitening(_gram(item_side, width))
+    user_side = cut_lineage(blocks.product(item_side, rotation, width, "user_idx"))
     values, vectors = np.linalg.eigh(_gram(user_side, width))
     leading = vectors[:, np.argsort(values)[::-1][:rank]]
     kept = _axis(leading.shape[1])
     users = _rotate(user_side, "user_idx", width, leading).select("user_idx", F.array(*kept).alias("vector"))
-    items = _rotate(basis, "item_idx", width, leading).select("item_idx", F.array(*kept).alias("vector"))
+    items = _rotate(item_side, "item_idx", width, rotation @ leading).select("item_idx", F.array(*kept).alias("vector"))
     return cut_lineage(users), cut_lineage(items)
 
 

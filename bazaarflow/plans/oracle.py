@@ -199,6 +199,7 @@ def gold_statements() -> dict[str, str]:
     d["snapshot_panel_source"] = on_panel(
         _FEATURES_OUT + "train_table WHERE as_of_date >= DATE '2000-07-01'", "train_table"
     )
+    d["snapshot_sink"] = d["snapshot_panel_source"]
     d["run_manifest"] = on_panel(
         """SELECT 'gold_labels' AS artifact, CAST(as_of_date AS VARCHAR) AS as_of_date, count(*) AS rows FROM labels GROUP BY 2
         UNION ALL SELECT 'gold_propensity_train_dataset', CAST(as_of_date AS VARCHAR), count(*) FROM train_table GROUP BY 2

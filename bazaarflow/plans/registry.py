@@ -109,6 +109,18 @@ def _snapshot_panel_source(spark: SparkSession, sf: str) -> DataFrame:
     return plain(readers.read_panel(spark, path, PANEL[6:]))
 
 
+def _snapshot_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel whose last snapshot is out of date, after that snapshot alone was made and written again."""
+    path, last = scratch_path(spark, "panel"), F.col("as_of_date") == F.lit(PANEL[-1])
+    clean = cut_lineage(_silver(spark, sf))
+    panel = labels.propensity_panel(clean, PANEL_END, check_bounds=False)
+    stale = panel.withColumn("monetary_90d", F.when(~last, F.col("monetary_90d")).otherwise(-1.0))
+    writers.parquet_sink(stale, path, partition_by="as_of_date")
+    fresh = labels.propensity_panel(clean, PANEL_END, months=1, check_bounds=False)
+    writers.snapshot_sink(fresh, path, PANEL[-1:])
+    return plain(readers.read_panel(spark, path, PANEL[6:]))
+
+
 def _parquet_sink(spark: SparkSession, sf: str) -> DataFrame:
     rows = writers.parquet_sink(_silver(spark, sf), scratch_path(spark, "silver"))
     return spark.createDataFrame([("silver_transactions_line_items", rows)], "artifact string, rows bigint")
@@ -151,6 +163,7 @@ def gold_queries() -> dict[str, Query]:
         "parquet_source": _parquet_source,
         "snapshot_panel_source": _snapshot_panel_source,
         "parquet_sink": _parquet_sink,
+        "snapshot_sink": _snapshot_sink,
         "parquet_to_csv_export": _parquet_to_csv_export,
         "run_manifest": _run_manifest,
         "raw_dedup": lambda s, sf: plain(silver.raw_dedup(_raw(s, sf))),

@@ -219,9 +219,13 @@ def weighted_matrix(dense):
     return weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
 
 
-def test_factors_span_the_leading_singular_space(interactions):
+@pytest.mark.parametrize("block_pairs", [200_000, 8])
+def test_factors_span_the_leading_singular_space(interactions, block_pairs):
+    # with 8 pairs to a block most users are too long for one and are multiplied by joins
     dense, pairs = interactions
-    users, items = retrieval.mf_factors(retrieval.tfidf_interactions(pairs, 50), 50, 30, components=5, n_iter=8)
+    assert (dense.sum(axis=1) > 8).any() and (dense.sum(axis=1) <= 8).any()
+    weighted = retrieval.tfidf_interactions(pairs, 50)
+    users, items = retrieval.mf_factors(weighted, 50, 30, components=5, n_iter=8, block_pairs=block_pairs)
     u = np.zeros((50, 5))
     for row in users.collect():
         u[row.user_idx] = row.vector
@@ -234,6 +238,19 @@ def test_factors_span_the_leading_singular_space(interactions):
     assert np.allclose(v.T @ v, np.eye(5), atol=1e-6)
 
 
+def test_pairs_stay_where_they_are_in_a_round(interactions):
+    _, pairs = interactions
+    blocks = retrieval._PairBlocks(retrieval.tfidf_interactions(pairs, 50), 200_000)
+    rows = blocks.light.select("item_idx").distinct().select("item_idx", *(F.rand(3).alias(f"q{i}") for i in range(4)))
+    frame = blocks.product(rows, np.eye(4), 4, "item_idx")
+    exchanges = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanges and not [line for line in exchanges if "(block" in line or "user_idx" in line]
+    # item rows to their routes, to the blocks and back; the pairs' side of the cogroup has no exchange
+    above = frame._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in above
+    assert sum("hashpartitioning(to_block" in line for line in exchanges) == 1
+
+
 def test_binary_weighting(interactions):
     _, pairs = interactions
     assert {r.weight for r in retrieval.tfidf_interactions(pairs, 50, "binary").collect()} == {1.0}

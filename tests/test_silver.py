@@ -117,6 +117,36 @@ def test_panel_reader_prunes_and_rejects_empty(spark, tmp_path):
         readers.read_panel(spark, path, [])
 
 
+def test_one_snapshot_is_replaced_and_the_others_stay(spark, tmp_path):
+    path = f"file://{tmp_path}/panel"
+    days = [f"2020-{month:02d}-01" for month in range(1, 13)]
+
+    def rows(value, dates, users=3):
+        cells = [(f"u{u}", value, day) for day in dates for u in range(users)]
+        return spark.createDataFrame(cells, "user_id string, value int, day string").selectExpr(
+            "user_id", "value", "CAST(day AS DATE) AS as_of_date"
+        )
+
+    def stored():
+        return {(r.user_id, str(r.as_of_date)): r.value for r in spark.read.parquet(path).collect()}
+
+    assert writers.snapshot_sink(rows(1, days), path, days) == dict.fromkeys(days, 3)
+    assert writers.snapshot_sink(rows(2, days[4:5], users=2), path, days[4:5]) == {days[4]: 2}
+    expected = {(f"u{u}", day): 1 for u in range(3) for day in days if day != days[4]} | {("u0", days[4]): 2, ("u1", days[4]): 2}
+    assert stored() == expected
+    manifest = writers.run_manifest({"panel": spark.read.parquet(path)}, {})
+    assert {r.as_of_date: r.rows for r in manifest.collect()} == {day: 2 if day == days[4] else 3 for day in days}
+    # a row of another snapshot, or of none, stops the write; a date without rows keeps what is stored
+    for wrong in (rows(3, days[:2]), rows(3, [days[0]]).unionByName(rows(3, [None]))):
+        with pytest.raises(Exception, match="not written"):
+            writers.snapshot_sink(wrong, path, days[:1])
+    with pytest.raises(ValueError, match=days[1]):
+        writers.snapshot_sink(rows(4, days[:1]), path, days[:2])
+    with pytest.raises(ValueError):
+        writers.snapshot_sink(rows(5, days[:1]), path, [])
+    assert stored() == expected | {(f"u{u}", days[0]): 4 for u in range(3)}
+
+
 def test_csv_round_trip_of_quotes_commas_newlines_and_blanks(spark, tmp_path):
     texts = ['12" RULER, RED', "two\nlines", ' "quoted" ', "", None, "back\\slash", "a,b"]
     columns = ", ".join(f"`{name}` string" for name in RAW_COLUMNS)
