@@ -7,9 +7,12 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarflow.functions.scale import exact_quantile
+from bazaarflow.functions.scale import exact_quantile, with_ordinal
 from bazaarflow.schemas import SNAPSHOT_COUNT, SPEND_CAP_QUANTILE, check_windows, require_columns
 
+# Rank error of the sketched quantile: one part in so many rows.
+SKETCH_ACCURACY = 10_000
+BROADCAST_COUNTRIES = 100_000
 SLICES = ("train", "validation", "test")
 
 
@@ -76,6 +79,16 @@ def spend_cap_value(train: DataFrame, lookback: int, q: float = SPEND_CAP_QUANTI
     return exact_quantile(train, f"monetary_{lookback}d", q, "spend_cap_value")
 
 
+def spend_cap_sketch(
+    train: DataFrame, lookback: int, q: float = SPEND_CAP_QUANTILE, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """The spend quantile in one pass without a sort: a value of the rows whose rank is off by at most rows / accuracy.
+
+    Sketches of the tasks are merged, so the shuffle carries one sketch per task. NULL when there are no values.
+    """
+    return train.agg(F.percentile_approx(f"monetary_{lookback}d", q, accuracy).alias("spend_cap_value"))
+
+
 def apply_spend_cap(rows: DataFrame, lookback: int, cap: float | Column) -> DataFrame:
     """Limit the long-window spend to the frozen training value."""
     name = f"monetary_{lookback}d"
@@ -93,6 +106,27 @@ def country_one_hot(train: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c != "country"), *flags)
 
 
+def country_vocabulary(train: DataFrame) -> tuple[DataFrame, int]:
+    """Each training country with its slot in name order (``country``, ``country_slot``), frozen; and their number."""
+    names = train.filter(F.col("country").isNotNull()).select("country").distinct()
+    return with_ordinal(names, ["country"], "country_slot")
+
+
+def country_vectors(rows: DataFrame, vocabulary: DataFrame, size: int, output: str = "country_flags") -> DataFrame:
+    """The 0/1 flags of ``country_one_hot`` as one sparse vector of ``size`` slots, for vocabularies of any length.
+
+    A country outside the vocabulary, or none, has an empty vector. The vocabulary stays a table: it is copied to the
+    executors up to ``BROADCAST_COUNTRIES`` rows and beyond that met in a join whose hot keys adaptive execution splits.
+    """
+    if size < 1:
+        raise ValueError("the training rows name no country")
+    slots = F.broadcast(vocabulary) if size <= BROADCAST_COUNTRIES else vocabulary  # counted: at most so many names
+    placed = rows.join(slots, "country", "left").withColumn("country_slot", F.coalesce("country_slot", F.lit(size)))
+    # Fitting takes the largest slot only; with "keep" the slot after it stands for the unknown and is left out.
+    encoder = OneHotEncoder(inputCol="country_slot", outputCol=output, handleInvalid="keep", dropLast=True)
+    return encoder.fit(vocabulary).transform(placed).drop("country", "country_slot")
+
+
 def feature_assembly(lookback: int, output: str = "features") -> Pipeline:
     """Numeric inputs followed by the country flags as one vector; unseen countries fall into the dropped slot."""
     index = StringIndexer(

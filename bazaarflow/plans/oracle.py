@@ -452,6 +452,15 @@ def propensity_statements() -> dict[str, str]:
     )
     flags = ", ".join(f"CAST(country = 'NATION_{i}' AS INTEGER)::DOUBLE AS \"country_NATION_{i}\"" for i in range(25))
     d["country_one_hot"] = on_panel(f"SELECT {_KEY}, {flags} FROM train_table", "train_table")
+    d["country_vectors"] = on_panel(
+        f"""SELECT {_KEY}, slot, (SELECT count(DISTINCT country) FROM scored WHERE slice = 'train') AS slots, CAST(slot IS NOT NULL AS INTEGER)::DOUBLE AS flags_set
+        FROM train_table LEFT JOIN (SELECT country, row_number() OVER (ORDER BY country) - 1 AS slot FROM
+        (SELECT DISTINCT country FROM scored WHERE slice = 'train' AND country IS NOT NULL)) AS vocabulary USING (country)""",
+        "scored",
+    )
+    d["spend_cap_sketch"] = on_panel(
+        "SELECT count(monetary_90d) AS train_rows, true AS within_bound FROM scored WHERE slice = 'train'", "scored"
+    )
     d["revenue_fallback_mean"] = on_panel(
         """SELECT round(avg(label_net_revenue_30d), 6) AS revenue_fallback_value
         FROM scored WHERE slice = 'train' AND label_purchase_30d = 1""",

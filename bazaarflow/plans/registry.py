@@ -309,6 +309,31 @@ def _country_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return prep.country_one_hot(rows.filter("slice = 'train'"), rows.drop("slice"))
 
 
+def _country_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The set slot of each sparse vector, its value and the vector's size."""
+    rows = _sliced(spark, sf).select("user_id", "as_of_date", "country", "slice")
+    vocabulary, size = prep.country_vocabulary(rows.filter("slice = 'train'"))
+    flags = models.vector_to_array("country_flags")
+    return prep.country_vectors(rows.drop("slice"), vocabulary, size).select(
+        "user_id",
+        "as_of_date",
+        (F.array_position(flags, F.lit(1.0)) - 1).alias("slot"),
+        F.size(flags).cast("bigint").alias("slots"),
+        F.aggregate(flags, F.lit(0.0), lambda total, flag: total + flag).alias("flags_set"),
+    )
+
+
+def _spend_cap_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the sketched cap's ranks reach the wanted one within the promised rank error."""
+    train = cut_lineage(_sliced(spark, sf).filter("slice = 'train'"))
+    spend, cap = F.col(f"monetary_{LOOKBACK}d"), prep.spend_cap_sketch(train, LOOKBACK).first()[0]
+    counted = train.agg(
+        F.count(spend).alias("train_rows"), F.count_if(spend < cap).alias("below"), F.count_if(spend <= cap).alias("up_to")
+    )
+    wanted, error = F.col("train_rows") * prep.SPEND_CAP_QUANTILE, F.col("train_rows") / prep.SKETCH_ACCURACY + 1
+    return counted.select("train_rows", ((F.col("below") <= wanted + error) & (F.col("up_to") >= wanted - error)).alias("within_bound"))
+
+
 def _feature_assembly(spark: SparkSession, sf: str) -> DataFrame:
     rows = _sliced(spark, sf)
     fitted = prep.feature_assembly(LOOKBACK).fit(rows.filter("slice <> 'test'"))
@@ -362,8 +387,10 @@ def propensity_queries() -> dict[str, Query]:
         "spend_cap_value": lambda s, sf: rounded(
             prep.spend_cap_value(_sliced(s, sf).filter("slice = 'train'"), LOOKBACK)
         ),
+        "spend_cap_sketch": _spend_cap_sketch,
         "apply_spend_cap": _apply_spend_cap,
         "country_one_hot": _country_one_hot,
+        "country_vectors": _country_vectors,
         "feature_assembly": _feature_assembly,
         "revenue_fallback_mean": lambda s, sf: rounded(
             models.revenue_fallback_mean(_sliced(s, sf).filter("slice = 'train'"))

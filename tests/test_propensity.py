@@ -6,6 +6,7 @@ import hashlib
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,33 @@ def test_cap_and_one_hot(spark):
     assert flags == {"c": (0.0, 0.0), "d": (0.0, 1.0)}
 
 
+def test_sparse_flags_of_a_large_vocabulary(spark):
+    n = 100_000
+    train = spark.range(n).selectExpr("concat('c', lpad(id, 6, '0')) AS country").unionByName(
+        spark.createDataFrame([(None,), ("c000007",)], "country string")
+    )
+    vocabulary, size = prep.country_vocabulary(train)
+    rows = spark.createDataFrame([("a", "c000000"), ("b", "c099999"), ("c", "elsewhere"), ("d", None)], "user_id string, country string")
+    flags = {r.user_id: r.country_flags for r in prep.country_vectors(rows, vocabulary, size).collect()}
+    assert size == n and all(v.size == n for v in flags.values())
+    assert {u: list(v.indices) for u, v in flags.items()} == {"a": [0], "b": [n - 1], "c": [], "d": []}
+    assert flags["a"].values == [1.0]
+    with pytest.raises(ValueError):
+        prep.country_vectors(rows, vocabulary.limit(0), 0)
+
+
+def test_sketched_cap_keeps_its_rank_error(spark):
+    values = np.random.default_rng(3).lognormal(3, 2, 60_000)
+    df = spark.createDataFrame(pd.DataFrame({"monetary_90d": values})).repartition(9)
+    for accuracy in (100, 1000):
+        frame = prep.spend_cap_sketch(df, 90, 0.9, accuracy)
+        cap = frame.first()[0]
+        assert cap in values and abs((values <= cap).sum() - 0.9 * len(values)) <= len(values) / accuracy + 1
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "rangepartitioning" not in plan
+    assert prep.spend_cap_sketch(df.limit(0), 90).first()[0] is None
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = np.random.default_rng(7)
