@@ -627,7 +627,7 @@ _PARTS.update(
             SELECT model_name, user_idx, item_idx, score,
                    row_number() OVER (PARTITION BY model_name, user_idx ORDER BY weight DESC, item_idx) AS rank
             FROM users, (SELECT 'popularity' AS model_name, item_idx, interactions AS weight, score FROM pop_scores
-                         UNION ALL SELECT 'mf', item_idx, buyers, score FROM pop_scores) p
+                         UNION ALL SELECT 'popularity_users', item_idx, buyers, score FROM pop_scores) p
             WHERE (user_idx, p.item_idx) NOT IN (SELECT (user_idx, item_idx) FROM pairs)
             QUALIFY rank <= 20""",
         ),
@@ -714,7 +714,7 @@ def recommender_statements() -> dict[str, str]:
     d["model_metrics"] = statement("SELECT * FROM model_rows", "model_rows")
     d["select_best_model"] = statement(
         """SELECT model_name AS selected_model_name, recall_at_20 FROM model_rows WHERE split = 'validation'
-        ORDER BY recall_at_20 DESC, model_name = 'mf' LIMIT 1""",
+        ORDER BY recall_at_20 DESC, model_name = 'popularity_users' LIMIT 1""",
         "model_rows",
     )
     d["recall_comparison"] = statement(

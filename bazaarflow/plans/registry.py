@@ -533,8 +533,8 @@ def _popular_lists(gold: recommender.RecommenderGold, **options) -> DataFrame:
 
 
 def _popular_metrics(gold: recommender.RecommenderGold) -> DataFrame:
-    """Two exact rankings under two model names: popularity by rows, and by distinct users as the stand-in for mf."""
-    lists = {"popularity": _popular_lists(gold), "mf": _popular_lists(gold, distinct_users=True)}
+    """Two exact rankings: popularity by rows, and by distinct users."""
+    lists = {"popularity": _popular_lists(gold), "popularity_users": _popular_lists(gold, distinct_users=True)}
     return ranking.model_metrics(lists, recommender.held_out(gold), gold.pairs, gold.n_items)
 
 
