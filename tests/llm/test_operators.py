@@ -443,6 +443,19 @@ def test_one_class_gives_a_constant():
     assert quality.fit([]).scores(pa.array(["x"]))[0] == 0.5
 
 
+def test_training_rows_are_views_of_short_numbers(spark, monkeypatch):
+    """What training holds in the driver: two bytes a feature number, no copy of what Arrow brought; a blank text has none."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows) or quality.QualityModel(np.zeros(quality.BUCKETS), 0.0))
+    docs = corpus.frame(spark, [(i, f"a text {i}" if i else None, "en", "s", 1) for i in (3, 1, 2, 0)], repeat=False)
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int"))
+    kept = [i for i in range(4) if zlib.crc32(str(i).encode()) % 5]
+    assert [label for _, _, label, _ in seen] == [i % 2 for i in kept]
+    for i, (ids, shares, _, _) in zip(kept, seen, strict=True):
+        own = quality.document_features(pa.array([f"a text {i}" if i else None], pa.string()))[0]
+        assert ids.itemsize == 2 and not ids.flags.owndata and ids.tolist() == own[0].tolist() and shares.tolist() == own[1].tolist()
+
+
 # --- no rows ------------------------------------------------------------------------------------------------------
 def test_empty_tables(spark, vocabulary):
     docs = corpus.frame(spark, NOTHING, repeat=False)
