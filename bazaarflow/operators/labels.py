@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import from_ticks, has_user, to_ticks
+from bazaarflow.functions.scale import shuffled
 from bazaarflow.operators.features import (
     Snapshots,
     dates_before,
@@ -86,7 +87,8 @@ def _label_columns(prefix: str) -> list[Column]:
 def labels_long(silver: DataFrame, snapshots: Snapshots) -> DataFrame:
     """Every label of every user seen up to the snapshot: horizons x metrics, 0.0 where nothing happened."""
     dates = snapshot_list(snapshots)
-    wide = _seen_users(silver, dates).join(_outcomes_wide(silver, dates, HORIZONS), ["user_id", "as_of_date"], "left")
+    outcomes = _outcomes_wide(silver, dates, HORIZONS)
+    wide = _seen_users(silver, dates).join(shuffled(outcomes), ["user_id", "as_of_date"], "left")
     cells = F.array(
         *(
             F.struct(

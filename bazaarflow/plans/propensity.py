@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarflow.functions.scale import cut_lineage
+from bazaarflow.functions.scale import cut_lineage, stored
 from bazaarflow.operators import dq, labels, metrics, models, policy, prep, sensitivity, validate
 from bazaarflow.schemas import PROPENSITY_MODELS, check_windows
 
@@ -73,7 +73,7 @@ def propensity_pipeline(
     check_windows(horizon, lookback)
     policy.target_count(budget, cost)
 
-    panel = cut_lineage(labels.propensity_panel(silver, panel_end))
+    panel = stored(labels.propensity_panel(silver, panel_end))
     dq.require_passed(dq.dq_report(dq.dq_train_duplicates(panel)))
     sweep = None
     if mode == "sensitivity":

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarflow.functions.scale import stored
 from bazaarflow.operators import metrics, models, policy, prep, sensitivity
 from bazaarflow.schemas import check_windows
 
@@ -247,3 +248,17 @@ def test_one_class_becomes_a_row_and_other_failures_stop_the_sweep(spark, model_
 
     with pytest.raises(RuntimeError, match="no model"):
         sensitivity.window_sweep(panel, {"logistic_regression": breaks}, horizons=(30,), lookbacks=(90,))
+
+
+def test_the_sweep_holds_no_copy_of_the_panel(model_rows):
+    panel = model_rows.selectExpr("*", "purchase_label AS label_purchase_30d", "revenue_label AS label_net_revenue_30d").drop("purchase_label", "revenue_label", "slice")
+    panel, plans = stored(panel), []
+
+    def scorer(fit, score, lookback):
+        plans.append(fit._jdf.queryExecution().withCachedData().toString())
+        return score.withColumn("propensity_score", F.lit(0.5))
+
+    row = sensitivity.window_sweep(panel, {"logistic_regression": scorer}, horizons=(30,), lookbacks=(90,)).first()
+    slices = dict(prep.split_10_1_1(panel).groupBy("slice").count().collect())
+    assert (row.status, row.train_rows, row.validation_rows) == ("ok", slices["train"], slices["validation"])
+    assert len(plans) == 1 and "InMemoryRelation" not in plans[0]

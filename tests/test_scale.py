@@ -104,3 +104,12 @@ def test_cut_sorts_the_border_only(spark):
     chosen = scale.rows_of_cut(df, cut, [F.desc("v"), "id"])
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan.lower() and "Sort" not in plan and chosen.count() == 70_000
+
+
+def test_a_stored_table_is_read_by_column(spark):
+    kept = scale.stored(spark.range(20).selectExpr("id", "id * 2 AS twice", "CAST(id AS STRING) AS name"))
+    assert kept.dtypes == [("id", "bigint"), ("twice", "bigint"), ("name", "string")]
+    read = kept.filter("id > 4").select("twice")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,twice:bigint>" in plan and "GreaterThan(id,4)" in plan
+    assert sorted(row[0] for row in read.collect()) == [2 * i for i in range(5, 20)]
