@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from bazaarflow.operators import dq, silver
 from bazaarflow.schemas import RAW_COLUMNS, RAW_SCHEMA
@@ -162,3 +163,20 @@ def test_csv_rows_with_missing_fields_fail(spark, tmp_path):
     (tmp_path / "bad.csv").write_text(",".join(RAW_COLUMNS) + "\n1,2,3\n")
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
         readers.raw_csv_source(spark, f"file://{tmp_path}/bad.csv").collect()
+
+
+def test_exact_sum_equals_the_decimal_sum(spark):
+    """Whole units, ties at the ninth decimal, amounts above a million, NULL alone and among others."""
+    amounts = {
+        "plain": [0.1, 0.2, 0.3, -12.5],
+        "ties": [0.000000005, 1.000000015, 2.5e-9, 7.000000025, -0.000000005],
+        "large": [123456789.123456789, -1234567.7654321, 1e6, 999999.99999999, 2e20],
+        "mixed": [3.30000000000001, 5e14, 0.1, 0.7, None],
+        "null": [None, None],
+        "noise": [3 * 1.1, 7 * 0.7, 49 * 1.1, 1e5 * 0.12345678],
+    }
+    rows = spark.createDataFrame([(name, x) for name, xs in amounts.items() for x in xs], "name string, x double")
+    plain = F.sum(F.col("x").cast("decimal(38,8)")).cast("double")
+    found = rows.groupBy("name").agg(silver._exact_sum(F.col("x")).alias("own"), plain.alias("plain")).collect()
+    assert len(found) == len(amounts)
+    assert [row["own"] for row in found] == [row["plain"] for row in found]
