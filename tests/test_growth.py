@@ -91,3 +91,35 @@ def test_written_predictions_are_not_worked_out_again(spark, tmp_path):
     out = writers.predictions_csv_sink(rows.withColumn("propensity_score", counted("propensity_score")), f"{tmp_path}/csv", 30)
     assert out.count() == 1 and out.collect()[0]["propensity_score"] == 1.0
     assert read.value == 1
+
+
+def test_scores_that_single_floats_cannot_tell_apart_are_ranked_exactly():
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(8)
+    items = base + 1e-10 * rng.standard_normal((60, 8))
+    items[50:55] = items[7]
+    users = np.vstack([base, 1e-30 * base, 1e30 * base, np.zeros(8), -base])
+    hidden = [None, [7], None, [0, 3], None]
+    exact = np.einsum("ud,id->uid", users, items).sum(axis=2)
+    worst = np.array([np.nan, np.nan, np.sort(exact[2])[-3], np.nan, np.sort(exact[4])[-4]])
+    got = retrieval._rank_block(np.arange(5), users, hidden, np.arange(60), items, 6, worst)
+    for user in range(5):
+        rows = got[got["user_idx"] == user]
+        scores = np.einsum("nd,nd->n", np.repeat(users[user : user + 1], 60, axis=0), items)
+        order = [i for i in np.lexsort((np.arange(60), -scores)) if i not in (hidden[user] or [])]
+        order = [i for i in order if not scores[i] < worst[user]][:6]
+        assert list(rows["item_idx"]) == order and list(rows["score"]) == list(scores[order])
+
+
+def test_vectors_too_long_to_be_scaled_are_still_ranked():
+    users, items = np.array([[1e200, 0.0], [1.0, 2.0]]), np.array([[1.0, 1.0], [2.0, 0.5], [0.0, np.nan], [3.0, -1.0]])
+    got = retrieval._rank_block(np.arange(2), users, [None, None], np.arange(4), items, 2)
+    assert [tuple(r)[:2] for r in got.itertuples(index=False)] == [(0, 3), (0, 1), (1, 0), (1, 1)]
+
+
+def test_later_blocks_hand_back_only_rows_that_may_enter_a_list(spark):
+    users = spark.createDataFrame([(0, [1.0, 0.0], 2.0, 1), (1, [1.0, 0.0], None, 1)], "user_idx bigint, vector array<double>, worst double, item_block int")
+    items = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(4)], "item_idx bigint, vector array<double>, item_block int")
+    seen = spark.createDataFrame([(1, 3)], "user_idx bigint, item_idx bigint")
+    rows = retrieval._scored_blocks(users, items, seen, 10, 2).collect()
+    assert sorted(map(tuple, rows)) == [(0, 2, 2.0), (0, 3, 3.0), (1, 0, 0.0), (1, 1, 1.0), (1, 2, 2.0)]
