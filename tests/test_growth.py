@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.columns import l2_normalized
-from bazaarflow.functions.scale import spread_by
+from bazaarflow.functions.scale import one_block_a_task, spread_by
 from bazaarflow.operators import ranking, retrieval
 from bazaarflow.sources import readers, writers
 
@@ -54,6 +54,18 @@ def test_short_rows_are_spread_over_all_tasks(spark):
     assert used > 8
 
 
+def test_every_block_has_a_task_of_its_own_on_both_sides(spark):
+    left = one_block_a_task(spark.range(600).select((F.col("id") % 12).cast("int").alias("block")), "block", 12)
+    right = one_block_a_task(spark.range(600).select((F.col("id") % 12).cast("int").alias("asking")), "asking", 12)
+
+    def one(key, own, sent):
+        return own.head(1)
+
+    met = left.groupBy("block").cogroup(right.groupBy("asking")).applyInPandas(one, "block int")
+    placed = met.select("block", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["block"] for r in placed) == list(range(12)) and len({r["task"] for r in placed}) == 12
+
+
 def test_tiles_give_the_same_lists_as_a_full_sort(monkeypatch):
     rng = np.random.default_rng(1)
     users, items = rng.integers(-2, 3, (7, 3)).astype(float), rng.integers(-2, 3, (50, 3)).astype(float)
