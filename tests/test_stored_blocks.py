@@ -85,3 +85,24 @@ def test_an_epoch_shuffles_only_what_the_blocks_hand_back(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "stored", kept)
     embeddings.learned_retriever(pairs, rank=4, epochs=2)
     assert len(plans) == 2 and all(len(lines) == 1 and "hashpartitioning(kind" in lines[0] for lines in plans)
+
+
+def test_many_vectors_are_ranked_like_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    users = [(u, (np.zeros(6) if u == 7 else rng.standard_normal(6)).tolist()) for u in range(70)]
+    items = [(i, (np.round(rng.standard_normal(6), 1) * 0.98**i).tolist()) for i in range(300)]
+    seen = sorted({(u, int(i)) for u in range(70) for i in rng.choice(300, u % 9, replace=False)} | {(3, i) for i in range(297)})
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (users, "user_idx bigint, vector array<double>"), (items, "item_idx bigint, vector array<double>"), (seen, PAIRS))]
+    few = {tuple(r) for r in retrieval.embedding_top_k(*frames, 5).collect()}
+    monkeypatch.setattr(retrieval, "MOST_MOVED_VECTORS", 0)
+    monkeypatch.setattr(retrieval, "STORED_ITEMS", 30)
+    monkeypatch.setattr(retrieval, "_scored_blocks", None)  # moves the vectors
+    assert {tuple(r) for r in retrieval.embedding_top_k(*frames, 5, head_items=20).collect()} == few
+    assert 69 * 5 < len(few) < 70 * 5
+
+
+def test_vectors_of_several_lengths_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "idx bigint, vector array<double>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        as_bytes(df, "idx bigint").collect()
