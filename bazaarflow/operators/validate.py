@@ -179,7 +179,9 @@ def recommender_kpis(anchored: DataFrame) -> DataFrame:
 
 
 def interpretation_kpis(propensity: DataFrame | None = None, recommender: DataFrame | None = None) -> DataFrame:
-    """Both reports' headline numbers in one table."""
+    """Both reports' headline numbers in one table; a run of one engine alone gives its own half."""
+    if propensity is None and recommender is None:
+        raise ValueError("there is no report to take headline numbers from")
     parts = [
         part.select(F.lit(name).alias("report"), "area", "kpi", "value")
         for name, part in (("propensity", propensity), ("recommender", recommender))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from bazaarflow.operators import silver, validate
+from bazaarflow.plans import registry
 from bazaarflow.plans.propensity import propensity_pipeline
 from bazaarflow.plans.recommender import recommender_pipeline
 from bazaarflow.schemas import RAW_SCHEMA
@@ -171,3 +174,22 @@ def test_manifest_counts(spark, shop, tmp_path):
     row = manifest.first()
     assert (row.artifact, row.rows, row.params["panel_end_date"], row.quality["raw_total_rows"]) == ("silver", shop.count(), "2011-11-10", 3.0)
     assert spark.read.json(str(tmp_path / "m")).count() == 1
+
+
+def test_interpretation_has_the_numbers_of_both_reports(spark, monkeypatch):
+    rows = [("mf", part, 5, 0.3, 0.1, 0.2) for part in ("validation", "test")]
+    lists = spark.createDataFrame(rows, "model_name string, split string, eligible_users bigint, recall_at_20 double, ndcg_at_20 double, hit_rate_at_20 double")
+    quality = spark.createDataFrame([("validation", "roc_auc", 0.7), ("test", "roc_auc", 0.6)], "slice string, metric string, value double")
+    policies = spark.createDataFrame([("rfm_heuristic", 9.0)], "policy string, actual_revenue_per_targeted_user double")
+    monkeypatch.setattr(registry, "_gold", lambda s, sf: SimpleNamespace(n_items=200))
+    monkeypatch.setattr(registry, "_popular_metrics", lambda gold: lists)
+    monkeypatch.setattr(registry, "_stand_in_results", lambda s, sf: (quality, policies, policies))
+    found = {tuple(r) for r in registry.all_queries()["interpretation_kpis"](spark, "").collect()}
+    assert found == {
+        ("propensity", "model", "roc_auc", 0.7),
+        ("propensity", "policy_validation", "rfm_heuristic_revenue_per_user", 9.0),
+        ("propensity", "policy_test", "rfm_heuristic_revenue_per_user", 9.0),
+        *(("recommender", part, kpi, value) for part in ("validation", "test") for kpi, value in (("mf_recall_at_20", 0.3), ("mf_lift_over_random", 3.0))),
+    }
+    with pytest.raises(ValueError):
+        validate.interpretation_kpis()
