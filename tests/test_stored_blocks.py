@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarflow.functions.scale import beside_each, own_and_table, stored, tasks_kept_apart
+from bazaarflow.functions.scale import beside_each, cut_lineage, own_and_table, stored, tasks_kept_apart
 from bazaarflow.functions.vectors import as_arrays, as_bytes
 from bazaarflow.operators import embeddings, retrieval
+from bazaarflow.sources import writers
 
 PAIRS = "user_idx bigint, item_idx bigint"
 
@@ -106,3 +107,14 @@ def test_vectors_of_several_lengths_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "idx bigint, vector array<double>").coalesce(1)
     with pytest.raises(Exception, match="one length"):
         as_bytes(df, "idx bigint").collect()
+
+
+def test_shuffle_files_leave_the_disk_when_a_table_is_written(spark, tmp_path):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: manager.shuffleStatuses().size()
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    for write in (cut_lineage, stored, lambda df: writers.parquet_sink(df, f"{tmp_path}/t")):
+        before = held()
+        write(grouped.withColumn("n", F.col("count") + 1))
+        assert held() == before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
